@@ -173,7 +173,7 @@ def scan(docs: DataFrame) -> DataFrame:
     line = F.when(F.col("gated"), F.concat(F.lit(" "), F.array_join(words(lower_ascii(F.col("text")), BREAK), "  "), F.lit(" "))).otherwise(F.lit(""))
 
     def results(s: Column) -> Column:
-        phrases = {_wide(f" {p} "): (p, label) for p, label in BASE.items()}
+        phrases = {f" {_wide(p)} ": (p, label) for p, label in BASE.items()}
         times = {p: ((F.length(s) - F.length(F.replace(s, F.lit(w), F.lit("")))) / len(w)).cast("long") for w, (p, _) in phrases.items()}
         first = [F.when(F.contains(s, F.lit(w)), (_spaces(F.substring_index(s, w, 1)) / 2).cast("long")) for w in phrases]
         last = [F.when(F.contains(s, F.lit(w)), F.col("n_words") - (_spaces(F.substring_index(s, w, -1)) / 2).cast("long") - len(p.split())) for w, (p, _) in phrases.items()]
