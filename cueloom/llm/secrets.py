@@ -121,7 +121,7 @@ def grow(rows: list[tuple[dict[str, float], bool]], r: random.Random, depth: int
     if not depth or p in (0.0, 1.0) or len(rows) < 2 * least:
         return Node(share=round(p, 4))
     best = (2 * p * (1 - p) - 1e-9, "", 0.0)
-    for f in r.sample(sorted(FEATURES), 5):
+    for f in r.sample(sorted(FEATURES), 9):
         values = sorted({x[f] for x, _ in rows})
         for a, b in zip(values[:: max(1, len(values) // 24)], values[max(1, len(values) // 24) :: max(1, len(values) // 24)], strict=False):
             t = (a + b) / 2
