@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import decontaminate, licenses, mixing, quality, secrets, simhash, tokens
+from cueloom.llm import decontaminate, licenses, mixing, passages, quality, secrets, simhash, tokens
 from cueloom.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_tokens": op3_tokens,
+    "op4_passages": op4_passages,
     "op5_licenses": op5_licenses,
     "op6_mixing": op6_mixing,
     "op8_decontaminate": op8_decontaminate,

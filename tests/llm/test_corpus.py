@@ -5,7 +5,7 @@ import pytest
 from tests.llm import brute
 from tests.llm.test_rowwise import corpus, same
 
-from cueloom.llm import components, mixing, simhash, tokens
+from cueloom.llm import chunks, components, mixing, passages, simhash, tokens
 from cueloom.llm.queries import tokenizer_file
 
 
@@ -138,3 +138,19 @@ def test_schedule_is_even(spark):
         for k in range(10, n, 10):
             assert abs(sum(r.sid == sid for r in slots[:k]) - k * share / n) <= 6
     assert sorted((r.first, r.last) for r in slots if r.sid == 3)[-1][1] == 640
+
+
+def test_repeated_passages(spark, sf, monkeypatch):
+    monkeypatch.setattr(chunks, "parts", lambda docs: 5)
+    data = [(i, t) for i, t in brute.rows() if i is not None] + [(i + 1000, t) for i, t in corpus(spark, sf)]
+    data += [(5000 + i, " ".join(f"w{(i * 3 + k) % 40}" for k in range(i % 30))) for i in range(150)]
+    same(passages.remove_repeats(brute.table(spark, data), digest=True).collect(), brute.repeated_windows(data))
+
+
+def test_passages_without_id_and_kept_text(spark):
+    text = " ".join(brute.PROSE)
+    data = [(None, text), (None, "x y " + text), (4, "a " + text + " b"), (4, text), (None, None)]
+    got = sorted((r.n_words, r.n_removed, bytes(r.kept).decode()) for r in passages.remove_repeats(brute.table(spark, data)).collect())
+    n = len(brute.PROSE)
+    assert got == sorted([(0, 0, ""), (n, n, ""), (n + 2, n, "x y"), (n, 0, text), (n + 2, 0, "a " + text + " b")])
+    assert passages.remove_repeats(brute.table(spark).limit(0)).count() == 0
