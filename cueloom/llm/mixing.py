@@ -149,3 +149,28 @@ def taken_words(docs: DataFrame) -> DataFrame:
     whole = mixed.where("size > 0").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.coalesce(F.sum(F.col("end") - F.col("begin")), F.lit(0)).cast("long").alias("taken"))
     empty = mixed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return whole.select(*empty.columns).unionByName(empty)
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as documents: each row of docs once for each pass that takes words of it, its text cut to them where a pass takes not all.
+
+    Columns are those of docs; n_chars, if there, follows a cut text. Rows that only other columns tell apart share their passes in the order of a hash."""
+    names = docs.columns
+    runs = mix(docs).where("slot is not null").groupBy("sid", "start", "source", "doc_id", "h", "size", "times").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    row = runs.groupBy("sid", "start", "source", "doc_id", "h", "size").agg(F.sort_array(F.collect_list(F.struct("times", "begin", "end"))).alias("passes"))  # MOST_TIMES at most
+    key = ["source", "doc_id", "h"]
+    nth = row.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("start"))).select(*[F.col(k).alias(f"k_{k}") for k in key], "nth", "size", "passes")
+    text = F.coalesce("text", F.lit(""))
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("whole"), F.col("source").cast("string").alias("source"), "doc_id",
+        F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string"), text).alias("h"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("tie"),
+    )
+    whole = whole.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("tie")))
+    same = whole["nth"] == nth["nth"]
+    for k in key:
+        same &= whole[k].eqNullSafe(nth[f"k_{k}"])
+    taken = whole.join(nth, same).select("whole", "size", F.explode("passes").alias("p"))
+    part = F.col("p.end") - F.col("p.begin") < F.col("size")
+    cut = F.array_join(F.slice(words(F.col("whole.text"), SPACE), (F.col("p.begin") + 1).cast("int"), (F.col("p.end") - F.col("p.begin")).cast("int")), " ")
+    changed = {"text": F.when(part, cut).otherwise(F.col("whole.text")), "n_chars": F.when(part, F.length(cut)).otherwise(F.col("whole.n_chars")) if "n_chars" in names else None}
+    return taken.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col(f"whole.`{c}`") for c in names])

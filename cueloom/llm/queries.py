@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import decontaminate, licenses, mixing, passages, quality, secrets, simhash, tokens
+from cueloom.llm import decontaminate, licenses, mixing, passages, quality, secrets, simhash, suffixes, tokens
 from cueloom.llm.common import table
 
 
@@ -37,6 +38,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,8 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_passages": op4_passages,
     "op5_licenses": op5_licenses,
     "op6_mixing": op6_mixing,
+    "op7_suffixes": op7_suffixes,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {}

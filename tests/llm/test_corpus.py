@@ -5,7 +5,7 @@ import pytest
 from tests.llm import brute
 from tests.llm.test_rowwise import corpus, same
 
-from cueloom.llm import chunks, components, mixing, passages, simhash, tokens
+from cueloom.llm import chunks, components, mixing, passages, simhash, suffixes, tokens
 from cueloom.llm.queries import tokenizer_file
 
 
@@ -154,3 +154,30 @@ def test_passages_without_id_and_kept_text(spark):
     n = len(brute.PROSE)
     assert got == sorted([(0, 0, ""), (n, n, ""), (n + 2, n, "x y"), (n, 0, text), (n + 2, 0, "a " + text + " b")])
     assert passages.remove_repeats(brute.table(spark).limit(0)).count() == 0
+
+
+def test_repeated_bytes(spark, sf, monkeypatch):
+    monkeypatch.setattr(chunks, "parts", lambda docs: 5)
+    r = np.random.default_rng(3)
+    data = brute.rows() + [(i + 1000, t) for i, t in corpus(spark, sf)][:60]
+    base = "".join(r.choice(list("abcdefgh ")) for _ in range(1500))
+    for k in range(60):  # pieces of one text with changes, so that strips of one anchor differ
+        a, b = sorted(r.integers(0, 1500, 2))
+        piece = list(base[a:b])
+        for at in r.integers(0, max(1, len(piece)), len(piece) // 150):
+            piece[at : at + 1] = ["é"] if r.random() < 0.5 else []
+        data.append((7000 + k, "".join(piece)))
+    data += [(8000, "ab" * 150), (8001, "q" * 230), (8002, base[:199]), (8003, base[:200])]
+    same(suffixes.remove_repeats(brute.table(spark, data), digest=True).collect(), brute.repeated_bytes(data))
+    assert suffixes.remove_repeats(brute.table(spark).limit(0)).count() == 0
+
+
+def test_merged_transforms():
+    r = np.random.default_rng(4)
+    shards = [[bytes(r.choice(list(b"ab"), int(n))) for n in r.integers(200, 260, 6)] for _ in range(4)]
+    shards[1][0], shards[3][2] = shards[0][0][:230] + b"x", b"zz" + shards[0][0][5:]
+    shards[2][3] = b"ab" * 120
+    joined = [s for shard in shards for s in shard]
+    windows = [s[k : k + 200] for s in joined for k in range(len(s) - 199)]
+    want = [[k + 200 <= len(s) and windows.count(s[k : k + 200]) > 1 for s in shard for k in range(len(s))] for shard in shards]
+    assert [f.tolist() for f in suffixes.repeats(shards)] == want
