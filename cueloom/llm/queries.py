@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import decontaminate, licenses, mixing, passages, quality, secrets, simhash, suffixes, tokens
+from cueloom.llm import decontaminate, licenses, lines, mixing, passages, quality, secrets, simhash, suffixes, tokens
 from cueloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -65,6 +69,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_lines": op2_lines,
     "op3_tokens": op3_tokens,
     "op4_passages": op4_passages,
     "op5_licenses": op5_licenses,
