@@ -5,7 +5,9 @@ edits share a segment, so the segments, with number and length of line, are an i
 those of its substrings that can stand in for a segment of a line as long or up to RADIUS shorter: for each segment
 only the few places that leave the rest of the edits to either side. Candidates are verified by a bit-parallel
 automaton over the band of 2 * RADIUS + 1 diagonals: three masks, one for each number of edits, moved on by the
-characters of the longer line, after what both begin and end with has been passed over by halves.
+characters of the longer line, after what both begin and end with has been passed over by halves. Before that, counts
+of letters rule out most candidates: an edit moves them by 2 at most. Those of some frequent letters go with the
+segments, so that the join itself drops candidates that a common segment brings together; those of all letters follow.
 
 Equal lines become one before anything is compared, by a 64-bit hash, so copies cost nothing. Lines of less than
 LEAST characters are only equal or not, as few edits would make any of them another. Only built-in expressions run on
@@ -92,18 +94,41 @@ def within(a: Column, b: Column, radius: int = RADIUS) -> Column:
     return bind(bind(rest, lambda p: F.struct(letters(p["a"]).alias("x"), letters(p["b"]).alias("y"))), run)
 
 
+def _count(line: Column, letter: str) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
+
+
+FREQUENT, LETTERS = "eatonirs", "abcdefghijklmnopqrstuvwxyz .,"
+
+
+def _signature(line: Column) -> Column:
+    """The counts, modulo 256, of eight letters in a long."""
+    return sum((F.shiftleft(_count(line, c).bitwiseAND(F.lit(255)).cast("long"), 8 * k) for k, c in enumerate(FREQUENT)), F.lit(0).cast("long"))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """How far the counts of two signatures are apart, at least."""
+    total = F.lit(0)
+    for k in range(len(FREQUENT)):
+        d = F.abs(F.shiftright(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * k).bitwiseAND(F.lit(255)))
+        total = total + F.least(d, 256 - d)
+    return total
+
+
 def links(lines: DataFrame) -> DataFrame:
     """a and b, hashes of different lines within RADIUS edits, once each; lines has id (the hash) and line, once each."""
     n = F.length("line")
-    long = lines.where(n >= LEAST).withColumn("n", n)
-    index = long.select("id", F.explode(F.array(*[_key(F.col("line"), F.col("n"), i, 0) for i in range(RADIUS + 1)])).alias("key"))
+    long = lines.where(n >= LEAST).withColumn("n", n).withColumn("letters", _signature(F.col("line")))
+    index = long.select("id", "letters", F.explode(F.array(*[_key(F.col("line"), F.col("n"), i, 0) for i in range(RADIUS + 1)])).alias("key"))
     probes = [_key(F.col("line"), F.col("n") - d, i, s) for d in range(RADIUS + 1) for i in range(RADIUS + 1) for s in shifts(i, d)]
-    probe = long.select(F.col("id").alias("other"), F.explode(F.array(*probes)).alias("key"))
-    pairs = probe.join(index.hint("shuffle_hash"), "key").where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    probe = long.select(F.col("id").alias("other"), F.col("letters").alias("other_letters"), F.explode(F.array(*probes)).alias("key"))
+    pairs = probe.join(index.hint("shuffle_hash"), "key").where((F.col("id") != F.col("other")) & (_apart(F.col("letters"), F.col("other_letters")) <= 2 * RADIUS)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     first, second = (lines.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
     texts = pairs.join(first, "a").join(second, "b")
     ordered = F.when(F.length("line_a") <= F.length("line_b"), F.struct(F.col("line_a").alias("s"), F.col("line_b").alias("l"))).otherwise(F.struct(F.col("line_b").alias("s"), F.col("line_a").alias("l")))
     near = texts.select("a", "b", ordered.alias("p")).where((F.length("p.l") - F.length("p.s") <= RADIUS) & (F.length("p.s") >= LEAST))
+    apart = sum((F.abs(_count(F.col("p.s"), c) - _count(F.col("p.l"), c)) for c in LETTERS), F.lit(0))
+    near = near.where(apart <= 2 * RADIUS)
     return near.where(within(F.col("p.s"), F.col("p.l"))).select("a", "b")
 
 
@@ -111,7 +136,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """For each row of docs: doc_id, n_lines, n_linked (lines with a different one near), n_links (links of its lines),
     n_removed (lines of a class that stands earlier), kept (numbers of the other lines) and classes (a number for each line's class, in order)."""
     number = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("number", "line")).select("doc_id", "number", "line", F.xxhash64("line").alias("id"))
-    pairs = stored(links(number.select("id", "line").repartition("id").dropDuplicates(["id"])), "line-links")
+    pairs = stored(links(number.select("id", "line").dropDuplicates(["id"])), "line-links")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     known = stored(ends.join(components(pairs), F.col("id") == F.col("node"), "left").select("id", "links", F.coalesce("root", "id").alias("root")), "line-classes")
     place = lambda: F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("number").alias("k"))
