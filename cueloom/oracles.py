@@ -33,6 +33,12 @@ u2 AS (SELECT *, f + CAST(coalesce(sum(length(piece)) OVER (PARTITION BY {key},
 {name} AS (SELECT {key}, par_idx, start, start + length(piece) AS stop, piece FROM u2 WHERE regexp_replace(piece, '[{SPACE}]', '', 'g') <> '')"""
 
 
+#: Each event is one character: those of a slide as one string, walked through by recursion with a cursor in the notes.
+HEARD = EVENTS + ", heard_by AS (SELECT deck_id, slide_num, any_value(notes) AS notes, string_agg(text, '' ORDER BY ev_idx) AS said, CAST(count(*) AS INT) AS n FROM matched JOIN slides USING (deck_id, slide_num) GROUP BY ALL)"
+_WALK = "SELECT deck_id, slide_num, 0 AS i, CAST(0 AS BIGINT) AS cur, CAST(NULL AS BIGINT) AS hit FROM heard_by UNION ALL SELECT deck_id, slide_num, i + 1, coalesce(p + 1, cur), p"
+_WALKED = "SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(i - 1 AS BIGINT) AS ev_idx, hit AS source_start, CAST(m.offset_ms AS BIGINT) AS offset_ms FROM walk JOIN matched m USING (deck_id, slide_num) WHERE m.ev_idx = i - 1 AND hit IS NOT NULL"
+
+
 SEGS = EVENTS + ", " + _units("slides", "deck_id, slide_num", "notes", PRIMARY_BREAKS) + ", segs AS (SELECT deck_id, slide_num, row_number() OVER (PARTITION BY deck_id, slide_num ORDER BY start) - 1 AS seg_idx, start, stop, piece FROM units)"
 RAW = SEGS + """, raw AS (SELECT s.deck_id, s.slide_num, s.seg_idx, s.start, s.stop, s.piece, min(m.offset_ms) AS raw_start, max(m.offset_ms + m.duration_ms) AS raw_end FROM segs s
   LEFT JOIN matched m ON m.deck_id = s.deck_id AND m.slide_num = s.slide_num AND m.a < s.stop AND m.b > s.start GROUP BY ALL)"""
@@ -98,7 +104,7 @@ ORACLE_SQL: dict[str, str] = {
     # text
     "txt1_char_width": f"SELECT DISTINCT c AS ch, CAST({_width('c')} AS BIGINT) AS width, regexp_matches(c, '^[{WIDE}]$') AS wide, regexp_matches(c, '^[\\x{{4E00}}-\\x{{9FFF}}]$') AS cjk FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> ''",
     "txt2_display_width": f"SELECT doc_id, CAST({_width('text')} AS BIGINT) AS width FROM documents",
-    "txt4_strip_trailing": f"SELECT doc_id, {_bare('left(text, 200)')} AS stripped FROM documents",
+    "txt4_strip_trailing": f"SELECT doc_id, {_bare('text')} AS stripped FROM documents",
     "txt5_normalize_whitespace": f"SELECT doc_id, {_shown('text')} AS shown FROM documents",
     "txt7_fits": f"WITH {SLIDES}, {_units('slides', 'deck_id, slide_num', 'notes', PRIMARY_BREAKS)} SELECT deck_id, slide_num, CAST(count(*) AS BIGINT) AS units, CAST(sum(CASE WHEN {_width(_bare(_shown('piece')))} <= 36 THEN 1 ELSE 0 END) AS BIGINT) AS fitting FROM units GROUP BY ALL",
     "txt8_numeric_punctuation": "SELECT doc_id, CAST(len(regexp_extract_all(replace(replace(text, '.', '..'), ',', ',,'), '[0-9](?:\\.\\.|,,)')) - len(regexp_extract_all(replace(replace(text, '.', '..'), ',', ',,'), '[0-9](?:\\.\\.|,,)(?:[^0-9]|$)')) AS BIGINT) AS n FROM documents",
@@ -114,9 +120,8 @@ ORACLE_SQL: dict[str, str] = {
     "seg2_primary_units": f"WITH {_units('documents', 'doc_id', 'text', PRIMARY_BREAKS)} SELECT doc_id, CAST(start AS BIGINT) AS start_at, CAST(stop AS BIGINT) AS end_at, piece FROM units",
     "seg2_secondary_units": f"WITH {_units('documents', 'doc_id', 'text', SECONDARY_BREAKS)} SELECT doc_id, CAST(start AS BIGINT) AS start_at, CAST(stop AS BIGINT) AS end_at, piece FROM units",
     # alignment
-    "aln1_occurrences": "WITH t AS (SELECT doc_id, left(text, 400) AS t, substr(text, 1, 2) AS p FROM documents) SELECT doc_id, CAST(i AS BIGINT) AS at FROM (SELECT doc_id, t, p, unnest(range(length(t) - length(p) + 1)) AS i FROM t WHERE p <> '') WHERE substr(t, CAST(i + 1 AS INT), length(p)) = p",
-    "aln4_match_events": f"WITH {EVENTS} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(ev_idx AS BIGINT) AS ev_idx, CAST(a AS BIGINT) AS source_start, CAST(offset_ms AS BIGINT) AS offset_ms FROM matched WHERE deck_id % 5 <> 0",
-    "aln4_full_rule": f"WITH {EVENTS} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(ev_idx AS BIGINT) AS ev_idx, CAST(a AS BIGINT) AS source_start, CAST(offset_ms AS BIGINT) AS offset_ms FROM matched WHERE deck_id % 5 <> 0",
+    "aln1_occurrences": "WITH t AS (SELECT doc_id, substr(text, 1, 2) AS p, string_split(text, '') AS c FROM documents), e AS (SELECT doc_id, p, unnest(c) AS a, unnest(list_append(c[2:], '')) AS b, generate_subscripts(c, 1) - 1 AS i FROM t WHERE p <> '') SELECT doc_id, CAST(i AS BIGINT) AS at FROM e WHERE (CASE WHEN length(p) = 1 THEN a ELSE a || b END) = p",
+    "aln4_match_events": f"WITH RECURSIVE {HEARD}, walk AS ({_WALK} FROM (SELECT w.*, nullif(instr(substr(notes, w.cur + 1), substr(said, w.i + 1, 1)), 0) + w.cur - 1 AS p FROM walk w JOIN heard_by h USING (deck_id, slide_num) WHERE w.i < n)) {_WALKED}",
     "aln5_overlaps": f"WITH {RAW} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(seg_idx AS BIGINT) AS seg_idx, CAST(raw_start AS BIGINT) AS raw_start, CAST(raw_end AS BIGINT) AS raw_end FROM raw",
     "aln6_interpolate": f"WITH RECURSIVE {FILLED} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(seg_idx AS BIGINT) AS seg_idx, s AS start_ms, e AS end_ms, gap AS interpolated FROM filled",
     "aln7_clamp": f"WITH RECURSIVE {CAPTIONS} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(seg_idx AS BIGINT) AS seg_idx, start_ms, CAST(end_ms AS BIGINT) AS end_ms FROM captions",
@@ -140,7 +145,7 @@ ORACLE_SQL: dict[str, str] = {
     "tl3_warnings": f"WITH RECURSIVE {CAPTIONS}, {SCALES} SELECT DISTINCT p.deck_id, CAST(p.slide_num AS BIGINT) AS slide_num, code FROM placed p JOIN captions c ON p.deck_id = c.deck_id AND p.slide_num = c.slide_num WHERE code IS NOT NULL",
     # signals
     "aud1_standardize": "WITH v AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT vec_id, avg(v) AS a, stddev_pop(v) AS s FROM v GROUP BY vec_id) SELECT vec_id, CAST(i - 1 AS BIGINT) AS i, round((v - a) / CASE WHEN s > 1e-6 THEN s ELSE 1.0 END, 5) AS z FROM v JOIN m USING (vec_id)",
-    "aud2_best_lags": "WITH t AS (SELECT vec_id * 64 + generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS s, vec_id FROM embeddings), c AS (SELECT vec_id, pos - vec_id * 64 AS i, s - avg(s) OVER (PARTITION BY vec_id) AS c FROM t WHERE vec_id < 120), l AS (SELECT vec_id, i, c, unnest(range(greatest(vec_id * 64 + vec_id % 7 - 96, 0), vec_id * 64 + vec_id % 7 + 97)) AS lag FROM c), sc AS (SELECT l.vec_id, lag, round(sum(t.s * c), 6) AS score, count(*) AS n FROM l JOIN t ON t.pos = lag + i GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, lag) AS k FROM sc WHERE n = 64) SELECT vec_id AS clip_id, CAST(lag AS BIGINT) AS lag FROM o WHERE k = 1",
+    "aud2_best_lags": "WITH t AS (SELECT vec_id * 64 + generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS s, vec_id FROM embeddings), c AS (SELECT vec_id, pos - vec_id * 64 AS i, s - avg(s) OVER (PARTITION BY vec_id) AS c FROM t), l AS (SELECT vec_id, i, c, unnest(range(greatest(vec_id * 64 + vec_id % 7 - 96, 0), vec_id * 64 + vec_id % 7 + 97)) AS lag FROM c), sc AS (SELECT l.vec_id, lag, round(sum(t.s * c), 6) AS score, count(*) AS n FROM l JOIN t ON t.pos = lag + i GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, lag) AS k FROM sc WHERE n = 64) SELECT vec_id AS clip_id, CAST(lag AS BIGINT) AS lag FROM o WHERE k = 1",
     "aud5_sampling": f"WITH {EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY deck_id, slide_num ORDER BY ev_idx) - 1 AS k, count(*) OVER (PARTITION BY deck_id, slide_num) AS n FROM matched WHERE offset_ms >= 50), w AS (SELECT *, list_transform(range(7), lambda i: CAST(round_even(i * (n - 1) / 6, 0) AS BIGINT)) AS l FROM n) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(ev_idx AS BIGINT) AS ev_idx FROM w WHERE n <= 7 OR list_contains(l, k)",
     # calibration
     "cal1_fit_scale": "WITH p AS (SELECT l_orderkey % 50 AS deck_id, l_quantity AS m, l_quantity * 1.00121 AS o FROM lineitem) SELECT deck_id, round(sum(m * o) / sum(m * m), 8) AS k, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY deck_id",

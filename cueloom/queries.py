@@ -86,7 +86,7 @@ def txt2_display_width(spark, d):
 
 @query
 def txt4_strip_trailing(spark, d):
-    return _docs(spark, d).select("doc_id", tx.strip_trailing_punctuation(F.left("text", F.lit(200))).alias("stripped"))
+    return _docs(spark, d).select("doc_id", tx.strip_trailing_punctuation(F.col("text")).alias("stripped"))
 
 
 @query
@@ -172,12 +172,12 @@ def seg10_balanced_lines(spark, d):
 @query
 def aln1_occurrences(spark, d):
     docs = _docs(spark, d)
-    found = align.occurrences(F.left("text", F.lit(400)), F.left("text", F.lit(2)))
+    found = align.occurrences(F.col("text"), F.left("text", F.lit(2)))
     return docs.select("doc_id", F.explode(found).alias("at"))
 
 
 def _matches(m):
-    return m.where("deck_id % 5 <> 0").select(*KEY, "ev_idx", F.col("source_start_offset").alias("source_start"), "offset_ms")
+    return m.select(*KEY, "ev_idx", F.col("source_start_offset").alias("source_start"), "offset_ms")
 
 
 @query
@@ -190,12 +190,6 @@ def aln4_full_rule(spark, d):
     return _matches(align.match(b.slides(spark, d), b.events(spark, d)))
 
 
-@query
-def aln4_full_rule_dropped(spark, d):
-    slides, events = b.slides(spark, d).where("deck_id % 5 = 0"), b.events(spark, d).where("deck_id % 5 = 0")
-    return align.match(slides, events)
-
-
 @query
 def aln5_overlaps(spark, d):
     return align.overlaps(_segments(spark, d), b.matched(spark, d)).select(*KEY, "seg_idx", "raw_start", "raw_end")
@@ -312,7 +306,7 @@ def aud1_standardize(spark, d):
 def aud2_best_lags(spark, d):
     v = _vectors(spark, d)
     track = v.select((F.col("vec_id") * 64 + F.col("i")).alias("pos"), "v")
-    clips = v.where("vec_id < 120").select(F.col("vec_id").alias("clip_id"), "i", "v", (F.col("vec_id") * 64 + F.col("vec_id") % 7).alias("predicted"))
+    clips = v.select(F.col("vec_id").alias("clip_id"), "i", "v", (F.col("vec_id") * 64 + F.col("vec_id") % 7).alias("predicted"))
     return signal.best_lags(track, clips, 96)
 
 
