@@ -15,8 +15,10 @@ within each partition and encoded in Arrow batches; each partition gives one val
 in a file of its own. So files are committed by Spark, once, wherever Hadoop's file systems reach, and a lost
 executor only repeats its shard. The writer ends a value with a line separator, here the table's magic number.
 
-Encoding: the tokenizer splits at white space and forgets it, so pieces between ASCII white space are encoded by
-the library once each and remembered, up to MOST_PIECES.
+Encoding: a tokenizer that drops white space encodes what stands between it piece by piece, so each piece is encoded by
+the library once and remembered, up to MOST_PIECES; with any other tokenizer whole texts are encoded. Pieces of ASCII and
+Latin-1 letters alone, which normalization only lowers, are split here and their words go straight to the library's
+model; all others go through the library as a whole. A Python worker keeps its encoder from task to task.
 
 Cases: a null or empty text has no ids but the end id; null ids of documents come first, rows with equal ids in the
 order of a hash of their texts; an empty table gives no files and no rows; other columns are not written.
@@ -25,9 +27,12 @@ order of a hash of their texts; an empty table gives no files and no rows; other
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,32 +50,89 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 MAGIC = struct.pack("<I", SEEKABLE).decode("latin-1")
 
 
+#: How a tokenizer has to normalize and split for white space to be dropped and plain pieces to be split here.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+class Words(dict):
+    """The ids of each word that the model was asked for."""
+
+    def __init__(self, tokenizer, pack: Callable[[list[int]], bytes]):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0x100))]
+        self.tokenize, self.pack, self.table = tokenizer.model.tokenize, pack, {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.pack([t.id for t in self.tokenize(word if word.isascii() else word.translate(self.table))])
+        return ids
+
+
+class Pieces(dict):
+    """The ids of each piece between white space."""
+
+    def __init__(self, encode: Callable[[str], bytes], words: Words, added: list[str]):
+        self.encode, self.words, self.added = encode, words, added
+
+    def __missing__(self, piece: bytes) -> bytes:
+        s = piece.decode("utf-8", "replace")
+        if PLAIN.fullmatch(s) and not any(t in s for t in self.added):
+            ids = b"".join([self.words[w] for w in PLAIN_WORDS.findall(s.lower())])
+        else:
+            ids = self.encode(s)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts, as bytes of dtype."""
 
     def __init__(self, tokenizer_file: str, most_pieces: int = MOST_PIECES):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.tokenizer = t = Tokenizer.from_file(tokenizer_file)
+        self.dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
+        part = lambda x, name: json.loads(x.__getstate__()).get(name) if x is not None else None
+        added = [x.content for x in t.get_added_tokens_decoder().values()]
+        self.by_piece = part(t.normalizer, "normalizers") == NORMALIZERS and part(t.pre_tokenizer, "pretokenizers") == SPLITTERS and not any(SPACED.search(x) for x in added)
+        self.words = Words(t, self.pack)
+        self.known = Pieces(self.encode, self.words, added)
         self.most = most_pieces
 
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        end = np.array([END_ID], self.dtype).tobytes()
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes() if self.dtype.itemsize > 2 else struct.pack(f"<{len(ids)}H", *ids)
+
+    def encode(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def __call__(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        end = self.pack([END_ID])
         for text in texts:
-            pieces = text.split()
-            new = list(set(pieces).difference(self.known))
-            if new:
-                if len(self.known) + len(new) > self.most:
-                    self.known.clear()
-                    new = list(set(pieces))
-                coded = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-                self.known.update(zip(new, (np.array(c.ids, self.dtype).tobytes() for c in coded), strict=True))
-            yield b"".join([*map(self.known.__getitem__, pieces), end])
+            if not self.by_piece:
+                yield self.encode(text.decode("utf-8", "replace")) + end
+                continue
+            for cache in (self.known, self.words):
+                if len(cache) > self.most:
+                    cache.clear()
+            yield b"".join([*map(self.known.__getitem__, text.split()), end])
+
+
+#: White space within an added token would be lost with the pieces.
+SPACED = re.compile(r"\s")
+
+
+@lru_cache(maxsize=1)
+def encoder_of(tokenizer_file: str) -> Encoder:
+    """This worker's encoder."""
+    return Encoder(tokenizer_file)
 
 
 class ShardWriter:
@@ -168,7 +230,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, shard_bytes: int = SH
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer_file)
+        encoder = encoder_of(tokenizer_file)
         shard = ShardWriter(TaskContext.get().partitionId(), encoder.dtype)
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(t.as_py() or b"" for t in batch.column("text")), strict=True):

@@ -1,5 +1,8 @@
 """Operators over the whole table, against plain Python."""
 
+import os
+import random
+
 import numpy as np
 import pytest
 from tests.llm import brute
@@ -71,6 +74,26 @@ def test_tokens(spark, sf):
     assert ids == [None, None] + sorted(i for i, _ in data if i is not None)
 
 
+def test_encoder_is_the_library():
+    """Marks, cases and letters that normalization or splitting could treat apart, in random order."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(4)
+    signs = ["a", "B", "é", "É", "ß", "'s", "'", "\u2019", "'LL", "1", "23", "½", "²", "ª", "×", "÷", "´", "\u0308", "İ", "Σ", "\u212a", " ", "\n", "\u3000", "\xa0", "\x85", "\x1c", "\0", "\x7f", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "😀", "中", ".", ",", "ÿ", "ﬁ", "\xad", "_"]
+    texts = ["".join(r.choices(signs, k=r.randint(0, 30))) for _ in range(3000)]
+    t = Tokenizer.from_file(tokenizer_file())
+    want = [[*x.ids, 2] for x in t.encode_batch(texts, add_special_tokens=False)]
+    for most in (5, 10_000):
+        encoder = tokens.Encoder(tokenizer_file(), most)
+        assert encoder.by_piece
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder(s.encode() for s in texts)] == want
+    other = os.path.join(os.path.dirname(tokenizer_file()), "byte_bpe_50k.json")
+    encoder = tokens.Encoder(other)
+    assert not encoder.by_piece  # white space counts there
+    t = Tokenizer.from_file(other)
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder(s.encode() for s in texts[:200])] == [[*x.ids, 2] for x in t.encode_batch(texts[:200], add_special_tokens=False)]
+
+
 def test_token_files(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
