@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cueloom.llm import decontaminate, licenses, lines, mixing, passages, quality, secrets, simhash, suffixes, tokens
 from cueloom.llm.common import table
+from cueloom.llm.oracles import ORACLE_SQL
 
 
 def tokenizer_file() -> str:
@@ -67,6 +68,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_lines": op2_lines,
@@ -80,4 +83,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {}
