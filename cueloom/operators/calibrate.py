@@ -34,6 +34,11 @@ def report(points: DataFrame, key: list[str]) -> DataFrame:
     return r.withColumn("doubtful", (F.col("rms") > MOST_RMS) | (F.col("max_residual") > MOST_RESIDUAL))
 
 
+def suggest(words: DataFrame, key: list[str]) -> DataFrame:
+    """k, n, rms and max_residual of each key from words whose place was both predicted (predicted_s) and measured (measured_s)."""
+    return report(words.select(*key, F.col("predicted_s").alias("measured"), F.col("measured_s").alias("observed")), key)
+
+
 def missing(observations: DataFrame, bounds: DataFrame, key: list[str]) -> DataFrame:
     """Observations of slides that were not measured."""
     return observations.join(bounds, key, "left_anti")

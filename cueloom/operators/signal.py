@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cueloom.errors import InvalidInput
 
+KEY = ["deck_id", "slide_num"]
 SAMPLE_RATE, ANCHOR_S, SEARCH_S = 8000, 8.0, 20.0
 
 
@@ -78,6 +79,49 @@ def locate(clips: DataFrame, tracks: DataFrame, rate: int = SAMPLE_RATE, anchor_
     return clips.groupBy("deck_id").cogroup(tracks.groupBy("deck_id")).applyInPandas(run, "deck_id bigint, slide_num int, start_s double, end_s double")
 
 
+def locate_warnings(entries: DataFrame, clips: DataFrame) -> DataFrame:
+    """A warning for each slide with an entry whose sound is missing or can't be decoded; it stays where it was predicted."""
+    heard = clips.where("samples is not null and size(samples) > 0").select(*KEY)
+    lost = entries.select(*KEY).distinct().join(heard, KEY, "left_anti")
+    return lost.select(*KEY, F.lit("not_located").alias("code"), F.lit("no sound that can be decoded; the predicted position is used").alias("message"))
+
+
+LEAD_IN_S, LEAST_CLIP_S, LEAST_SOUND_S = 0.2, 1.5, 0.5
+
+
+def check_words(words: DataFrame, clips: DataFrame, tracks: DataFrame, rate: int = SAMPLE_RATE, search_s: float = 2.0) -> DataFrame:
+    """Where sampled words really are in the track, against their place by the slide's start and scale.
+
+    words: deck_id, slide_num, ev_idx, text, offset_s, duration_s, start_s, scale. Words at the very start of a slide and
+    those with too little sound around them are left out. A deck's track is in one task; its words take their turn."""
+    sound = clips.select(*KEY, "samples")
+    joined = words.where("offset_s >= 0.05").join(sound, KEY)
+    begin = F.greatest(F.lit(0.0), F.col("offset_s") - LEAD_IN_S)
+    stop = F.least(F.size("samples") / rate, F.greatest(begin + LEAST_CLIP_S, F.col("offset_s") + F.col("duration_s") + LEAD_IN_S))
+    at, end = (begin * rate).cast("int"), (stop * rate).cast("int")
+    cut = joined.withColumn("begin_s", begin).withColumn("own_s", F.size("samples") / rate).withColumn("part", F.slice("samples", at + 1, F.greatest(end - at, F.lit(0))))
+    cut = cut.where(F.size("part") >= int(LEAST_SOUND_S * rate)).drop("samples")
+
+    def run(key, mine: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(whole):
+            track = np.asarray(whole["samples"].iloc[0], np.float32)
+            for w in mine.sort_values(["slide_num", "ev_idx"]).itertuples(index=False):
+                begins = find_offset(track, np.asarray(w.part, np.float32), w.start_s + w.begin_s, rate, search_s)
+                measured = begins + w.offset_s - w.begin_s
+                delta, predicted = measured - (w.start_s + w.offset_s), w.start_s + w.offset_s * w.scale
+                rows.append((*key, w.slide_num, w.ev_idx, w.text, w.offset_s, w.offset_s / w.own_s if w.own_s > 1e-6 else 0.0, delta, 1 + delta / w.offset_s, measured - predicted, predicted, measured))
+        return pd.DataFrame(rows, columns=["deck_id", *WORD_COLUMNS])
+
+    schema = "deck_id bigint, slide_num int, ev_idx int, text string, " + ", ".join(f"{c} double" for c in WORD_COLUMNS[3:])
+    # Columns of their own, as both sides may come from one table.
+    mine, whole = (df.toDF(*df.columns).groupBy("deck_id") for df in (cut, tracks))
+    return mine.cogroup(whole).applyInPandas(run, schema)
+
+
+WORD_COLUMNS = ["slide_num", "ev_idx", "text", "offset_s", "fraction", "naive_delta", "implied_scale", "corrected_delta", "predicted_s", "measured_s"]
+
+
 def sample_evenly(df: DataFrame, key: list[str], order: str, k: int) -> DataFrame:
     """k rows of each key at even distances, the first and last included; all rows if there are no more than k."""
     if k < 2:

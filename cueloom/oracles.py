@@ -63,7 +63,7 @@ ENTRIES = SLIDES + """, entries AS (SELECT deck_id, slide_num, title, entry_idx,
 
 
 def _time(ms: str) -> str:
-    return f"(lpad(CAST({ms} // 3600000 AS VARCHAR), greatest(2, length(CAST({ms} // 3600000 AS VARCHAR))), '0') || ':' || lpad(CAST({ms} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({ms} // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST({ms} % 1000 AS VARCHAR), 3, '0'))"
+    return f"(lpad(CAST({ms} // 3600000 AS VARCHAR), CAST(greatest(2, length(CAST({ms} // 3600000 AS VARCHAR))) AS INT), '0') || ':' || lpad(CAST({ms} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({ms} // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST({ms} % 1000 AS VARCHAR), 3, '0'))"
 
 
 def _strip(s: str) -> str:
@@ -131,10 +131,11 @@ ORACLE_SQL: dict[str, str] = {
     "gap2_recheck": f"WITH {EVENTS}, ent AS (SELECT DISTINCT deck_id, slide_num FROM slides WHERE notes IS NOT NULL AND slide_num % 5 <> 0), ev AS (SELECT DISTINCT deck_id, slide_num FROM matched), m AS (SELECT *, lead(a) OVER w AS na, lead(offset_ms) OVER w AS no, max(b) OVER v - min(a) OVER v AS chars, max(offset_ms + duration_ms) OVER v - min(offset_ms) OVER v AS ms FROM matched WINDOW w AS (PARTITION BY deck_id, slide_num ORDER BY ev_idx), v AS (PARTITION BY deck_id, slide_num)), sus AS (SELECT deck_id, slide_num, count(*) AS n FROM m WHERE na - b >= 15 AND chars > 0 AND ms > 0 AND no - offset_ms - 160 < (na - b) * ms / chars * 0.3 GROUP BY ALL) SELECT s.deck_id, CAST(sum(CASE WHEN ent.deck_id IS NOT NULL AND notes IS NOT NULL AND ev.deck_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS checked, CAST(sum(CASE WHEN ent.deck_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_entry, CAST(sum(CASE WHEN ent.deck_id IS NOT NULL AND notes IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_notes, CAST(sum(CASE WHEN ent.deck_id IS NOT NULL AND notes IS NOT NULL AND ev.deck_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_events, CAST(coalesce(sum(n), 0) AS BIGINT) AS suspects FROM slides s LEFT JOIN ent ON ent.deck_id = s.deck_id AND ent.slide_num = s.slide_num LEFT JOIN ev ON ev.deck_id = s.deck_id AND ev.slide_num = s.slide_num LEFT JOIN sus ON sus.deck_id = s.deck_id AND sus.slide_num = s.slide_num GROUP BY s.deck_id",
     "gap3_self_consistency": f"WITH {EVENTS}, j AS (SELECT deck_id, slide_num, ev_idx, offset_ms - CASE WHEN ev_idx % 50 = 49 THEN 700 ELSE 0 END AS o FROM matched), r AS (SELECT *, max(o + 160) OVER (PARTITION BY deck_id, slide_num ORDER BY ev_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM j), p AS (SELECT deck_id, slide_num, sum(CASE WHEN o < coalesce(before, 0) - 10 THEN 1 ELSE 0 END) AS n, arg_max(o + 160, ev_idx) AS last FROM r GROUP BY ALL) SELECT p.deck_id, CAST(p.slide_num AS BIGINT) AS slide_num, CAST(audio_ms - last AS BIGINT) AS gap_ms, CAST(n AS BIGINT) AS out_of_order, abs(audio_ms - last) > 300 OR n > 0 AS flagged FROM p JOIN slides s ON s.deck_id = p.deck_id AND s.slide_num = p.slide_num",
     "gap3_worst_slide": f"WITH {EVENTS}, p AS (SELECT deck_id, slide_num, max(offset_ms + 160) AS last FROM matched GROUP BY ALL), g AS (SELECT p.deck_id, p.slide_num, abs(audio_ms - last) AS gap FROM p JOIN slides s ON s.deck_id = p.deck_id AND s.slide_num = p.slide_num), o AS (SELECT *, row_number() OVER (PARTITION BY deck_id ORDER BY gap DESC, slide_num DESC) AS k FROM g) SELECT deck_id, CAST(slide_num AS BIGINT) AS worst_slide, CAST(gap AS BIGINT) AS worst_gap_ms FROM o WHERE k = 1",
-    "gap3_event_disorder": "WITH e AS (SELECT user_id, event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS at, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), r AS (SELECT *, max(at + 160) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e) SELECT user_id, CAST(sum(CASE WHEN at < coalesce(before, 0) - 10 THEN 1 ELSE 0 END) AS BIGINT) AS out_of_order FROM r GROUP BY user_id",
+    "gap3_event_disorder": "WITH e AS (SELECT user_id, event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), r AS (SELECT *, max(ms + 160) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e) SELECT user_id, CAST(sum(CASE WHEN ms < coalesce(before, 0) - 10 THEN 1 ELSE 0 END) AS BIGINT) AS out_of_order FROM r GROUP BY user_id",
     "gap4_drift": f"WITH {SLIDES}, {BOUNDS}, j AS (SELECT s.deck_id, s.slide_num, s.audio_ms, b.start_ms, CAST(coalesce(sum(CASE WHEN s.audio_ms IS NULL THEN 5000 WHEN b.start_ms IS NOT NULL THEN s.audio_ms ELSE 0 END) OVER (PARTITION BY s.deck_id ORDER BY s.slide_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS p FROM slides s LEFT JOIN bounds b ON b.deck_id = s.deck_id AND b.slide_num = s.slide_num) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, p AS predicted_ms, CAST(start_ms AS BIGINT) AS start_ms, CAST(start_ms - p AS BIGINT) AS delta_ms, abs(start_ms - p) > 500 AS flagged FROM j WHERE start_ms IS NOT NULL AND audio_ms IS NOT NULL",
     # timelines
     "tl1_spoken_text": f"WITH {SLIDES} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, coalesce(nullif(subtitle_text, ''), notes) AS spoken, coalesce(audio_ms, 5000) AS duration_ms, CASE WHEN notes IS NULL THEN 'silent' END AS code FROM slides",
+    "tl1_warnings": f"WITH {EVENTS}, told AS (SELECT DISTINCT deck_id, slide_num FROM matched WHERE slide_num % 4 <> 0), n AS (SELECT deck_id, slide_num FROM slides WHERE notes IS NOT NULL) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, 'no_duration' AS code FROM n WHERE deck_id % 11 = 0 UNION ALL SELECT deck_id, CAST(slide_num AS BIGINT), 'no_events' FROM n WHERE NOT EXISTS (SELECT 1 FROM told t WHERE t.deck_id = n.deck_id AND t.slide_num = n.slide_num)",
     "tl2_predicted_starts": f"WITH {SLIDES}, {STARTS} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(duration_ms AS BIGINT) AS duration_ms, predicted_ms FROM starts",
     "tl2_large_timeline": f"WITH slides AS (SELECT l_orderkey AS deck_id, l_linenumber AS slide_num, CAST(sum(l_quantity) AS BIGINT) AS audio_ms FROM lineitem GROUP BY ALL), {STARTS} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(duration_ms AS BIGINT) AS duration_ms, predicted_ms FROM starts",
     "predictive_captions": f"{PREDICTED} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(seg_idx AS BIGINT) AS seg_idx, text, {_time('(start_ms + predicted_ms)')} AS start_at, {_time('(end_ms + predicted_ms)')} AS end_at FROM captions JOIN starts USING (deck_id, slide_num)",
@@ -146,16 +147,17 @@ ORACLE_SQL: dict[str, str] = {
     # signals
     "aud1_standardize": "WITH v AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT vec_id, avg(v) AS a, stddev_pop(v) AS s FROM v GROUP BY vec_id) SELECT vec_id, CAST(i - 1 AS BIGINT) AS i, round((v - a) / CASE WHEN s > 1e-6 THEN s ELSE 1.0 END, 5) AS z FROM v JOIN m USING (vec_id)",
     "aud2_best_lags": "WITH t AS (SELECT vec_id * 64 + generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS s, vec_id FROM embeddings), c AS (SELECT vec_id, pos - vec_id * 64 AS i, s - avg(s) OVER (PARTITION BY vec_id) AS c FROM t), l AS (SELECT vec_id, i, c, unnest(range(greatest(vec_id * 64 + vec_id % 7 - 96, 0), vec_id * 64 + vec_id % 7 + 97)) AS lag FROM c), sc AS (SELECT l.vec_id, lag, round(sum(t.s * c), 6) AS score, count(*) AS n FROM l JOIN t ON t.pos = lag + i GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, lag) AS k FROM sc WHERE n = 64) SELECT vec_id AS clip_id, CAST(lag AS BIGINT) AS lag FROM o WHERE k = 1",
-    "aud5_sampling": f"WITH {EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY deck_id, slide_num ORDER BY ev_idx) - 1 AS k, count(*) OVER (PARTITION BY deck_id, slide_num) AS n FROM matched WHERE offset_ms >= 50), w AS (SELECT *, list_transform(range(7), lambda i: CAST(round_even(i * (n - 1) / 6, 0) AS BIGINT)) AS l FROM n) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(ev_idx AS BIGINT) AS ev_idx FROM w WHERE n <= 7 OR list_contains(l, k)",
+    "aud5_sampling": f"WITH {EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY deck_id, slide_num ORDER BY ev_idx) - 1 AS k, count(*) OVER (PARTITION BY deck_id, slide_num) AS n FROM matched), w AS (SELECT *, list_transform(range(7), lambda i: CAST(round_even(i * (n - 1) / 6, 0) AS BIGINT)) AS l FROM n) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(ev_idx AS BIGINT) AS ev_idx FROM w WHERE (n <= 7 OR list_contains(l, k)) AND offset_ms >= 50",
     # calibration
     "cal1_fit_scale": "WITH p AS (SELECT l_orderkey % 50 AS deck_id, l_quantity AS m, l_quantity * 1.00121 AS o FROM lineitem) SELECT deck_id, round(sum(m * o) / sum(m * m), 8) AS k, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY deck_id",
     "cal2_report": "WITH p AS (SELECT l_orderkey % 50 AS deck_id, l_quantity AS m, l_quantity * 1.00121 + (l_partkey % 5 - 2) * CASE WHEN l_orderkey % 50 < 10 THEN 1.5 ELSE 0.1 END AS o FROM lineitem), f AS (SELECT deck_id, sum(m * o) / sum(m * m) AS k FROM p GROUP BY deck_id), r AS (SELECT deck_id, k, m * k - o AS r FROM p JOIN f USING (deck_id)) SELECT deck_id, round(max(k), 8) AS k, CAST(count(*) AS BIGINT) AS n, round(sqrt(avg(r * r)), 6) AS rms, round(max(abs(r)), 6) AS max_residual, sqrt(avg(r * r)) > 1.0 OR max(abs(r)) > 2.0 AS doubtful FROM r GROUP BY deck_id",
+    "cal3_suggest": f"WITH {SLIDES}, {STARTS}, p AS (SELECT deck_id, predicted_ms / 1000 AS m, predicted_ms * 1.0012 / 1000 AS o FROM starts WHERE predicted_ms > 0), f AS (SELECT deck_id, sum(m * o) / sum(m * m) AS k, count(*) AS n FROM p GROUP BY deck_id), r AS (SELECT deck_id, k, n, m * k - o AS r FROM p JOIN f USING (deck_id) WHERE n >= 2) SELECT deck_id, round(max(k), 6) AS k, CAST(count(*) AS BIGINT) AS n, round(sqrt(avg(r * r)), 6) AS rms, sqrt(avg(r * r)) > 1.0 OR max(abs(r)) > 2.0 AS doubtful FROM r GROUP BY deck_id",
     "cal2_missing": f"WITH {SLIDES}, {BOUNDS} SELECT s.deck_id, CAST(s.slide_num AS BIGINT) AS slide_num FROM starts s WHERE NOT EXISTS (SELECT 1 FROM bounds b WHERE b.deck_id = s.deck_id AND b.slide_num = s.slide_num)",
     "cal4_ranges": f"WITH {SLIDES}, {BOUNDS}, d AS (SELECT b.start_ms - s.predicted_ms AS delta, b.start_ms AS start FROM bounds b JOIN starts s ON s.deck_id = b.deck_id AND s.slide_num = b.slide_num) SELECT CAST(min(delta) AS BIGINT) AS min_delta, CAST(max(delta) AS BIGINT) AS max_delta, CAST(min(start) AS BIGINT) AS min_start, CAST(max(start) AS BIGINT) AS max_start FROM d",
     # intervals and cues
-    "ivl1_clip": f"{PREDICTED}, {CUES}, {TOTALS}, e AS (SELECT deck_id, predicted_ms AS at FROM starts WHERE slide_num = 3 UNION ALL SELECT deck_id, 0 FROM totals UNION ALL SELECT deck_id, total_ms FROM totals), w AS (SELECT deck_id, row_number() OVER v - 1 AS part_idx, at AS w0, lead(at) OVER v AS w1 FROM e WINDOW v AS (PARTITION BY deck_id ORDER BY at)) SELECT c.deck_id, CAST(part_idx AS BIGINT) AS part_idx, CAST(cue_idx AS BIGINT) AS cue_idx, CAST(greatest(start_ms, w0) - w0 AS BIGINT) AS start_ms, CAST(least(end_ms, w1) - w0 AS BIGINT) AS end_ms, text FROM cues c JOIN w ON w.deck_id = c.deck_id WHERE w1 IS NOT NULL AND least(end_ms, w1) > greatest(start_ms, w0)",
-    "ivl2_windows": f"WITH {SLIDES}, {STARTS}, {TOTALS}, e AS (SELECT deck_id, predicted_ms AS at FROM starts WHERE slide_num = 3 UNION ALL SELECT deck_id, 0 FROM totals UNION ALL SELECT deck_id, total_ms FROM totals), w AS (SELECT deck_id, row_number() OVER v - 1 AS part_idx, at AS w0, lead(at) OVER v AS w1 FROM e WINDOW v AS (PARTITION BY deck_id ORDER BY at)) SELECT deck_id, CAST(part_idx AS BIGINT) AS part_idx, CAST(w0 AS BIGINT) AS w0, CAST(w1 AS BIGINT) AS w1 FROM w WHERE w1 IS NOT NULL",
-    "ivl3_equal_cuts": f"WITH {SLIDES}, {STARTS}, {TOTALS}, c AS (SELECT s.deck_id, slide_num, predicted_ms AS at, abs(predicted_ms * 2 - total_ms) AS d FROM starts s JOIN totals t ON t.deck_id = s.deck_id WHERE predicted_ms > 0), o AS (SELECT *, row_number() OVER (PARTITION BY deck_id ORDER BY d, at, slide_num) AS k FROM c) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(at AS BIGINT) AS at_ms FROM o WHERE k = 1",
+    "ivl1_clip": f"{PREDICTED}, {CUES}, {TOTALS}, e AS (SELECT deck_id, predicted_ms AS at_ms FROM starts WHERE slide_num = 3 UNION ALL SELECT deck_id, 0 FROM totals UNION ALL SELECT deck_id, total_ms FROM totals), w AS (SELECT deck_id, row_number() OVER v - 1 AS part_idx, at_ms AS w0, lead(at_ms) OVER v AS w1 FROM e WINDOW v AS (PARTITION BY deck_id ORDER BY at_ms)) SELECT c.deck_id, CAST(part_idx AS BIGINT) AS part_idx, CAST(cue_idx AS BIGINT) AS cue_idx, CAST(greatest(start_ms, w0) - w0 AS BIGINT) AS start_ms, CAST(least(end_ms, w1) - w0 AS BIGINT) AS end_ms, text FROM cues c JOIN w ON w.deck_id = c.deck_id WHERE w1 IS NOT NULL AND least(end_ms, w1) > greatest(start_ms, w0)",
+    "ivl2_windows": f"WITH {SLIDES}, {STARTS}, {TOTALS}, e AS (SELECT deck_id, predicted_ms AS at_ms FROM starts WHERE slide_num = 3 UNION ALL SELECT deck_id, 0 FROM totals UNION ALL SELECT deck_id, total_ms FROM totals), w AS (SELECT deck_id, row_number() OVER v - 1 AS part_idx, at_ms AS w0, lead(at_ms) OVER v AS w1 FROM e WINDOW v AS (PARTITION BY deck_id ORDER BY at_ms)) SELECT deck_id, CAST(part_idx AS BIGINT) AS part_idx, CAST(w0 AS BIGINT) AS w0, CAST(w1 AS BIGINT) AS w1 FROM w WHERE w1 IS NOT NULL",
+    "ivl3_equal_cuts": f"WITH {SLIDES}, {STARTS}, {TOTALS}, c AS (SELECT s.deck_id, slide_num, predicted_ms AS at_ms, abs(predicted_ms * 2 - total_ms) AS d FROM starts s JOIN totals t ON t.deck_id = s.deck_id WHERE predicted_ms > 0), o AS (SELECT *, row_number() OVER (PARTITION BY deck_id ORDER BY d, at_ms, slide_num) AS k FROM c) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(at_ms AS BIGINT) AS at_ms FROM o WHERE k = 1",
     "ivl4_cuts_after": f"WITH {SLIDES}, {STARTS} SELECT s.deck_id, CAST(s.slide_num AS BIGINT) AS slide_num, s.predicted_ms AS at_ms FROM starts s JOIN starts p ON p.deck_id = s.deck_id AND p.slide_num = s.slide_num - 1 WHERE p.slide_num % 2 = 0",
     "ivl5_overlapping": f"WITH RECURSIVE {RAW}, c AS (SELECT deck_id, slide_num, seg_idx, raw_start AS s, raw_end + CASE WHEN seg_idx % 3 = 0 THEN 500 ELSE 0 END AS e FROM raw WHERE raw_start IS NOT NULL), l AS (SELECT *, lag(e) OVER (PARTITION BY deck_id, slide_num ORDER BY seg_idx) - s AS o FROM c) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(seg_idx AS BIGINT) AS cue_idx, CAST(o AS BIGINT) AS overlap_ms FROM l WHERE o > 0",
     "srt2_format": f"{SRT} SELECT deck_id, srt FROM srt",
@@ -173,6 +175,9 @@ ORACLE_SQL: dict[str, str] = {
     # documents written and read
     "src2_titles": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), f AS (SELECT doc_id, i, {_strip('s')} AS s FROM l) SELECT doc_id, arg_min(s, i) AS title FROM f WHERE s <> '' AND lower(s) <> 'click to add title' GROUP BY doc_id",
     "src3_notes": f"SELECT doc_id, nullif({_strip('string_agg(p, chr(10) ORDER BY i)')}, '') AS notes FROM (SELECT doc_id, {_strip('s')} AS p, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) GROUP BY doc_id",
+    "aud4_warnings": f"WITH {ENTRIES} SELECT DISTINCT deck_id, CAST(slide_num AS BIGINT) AS slide_num, 'not_located' AS code FROM entries WHERE audio_file IS NULL",
+    "ext9_insertion": f"WITH {ENTRIES}, a AS (SELECT deck_id, slide_num, arg_max(audio_file, entry_idx) AS audio_file FROM entries WHERE audio_file IS NOT NULL GROUP BY ALL) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, audio_file, CASE WHEN slide_num % 3 = 0 THEN 'audio file not found' END AS reason FROM a UNION ALL SELECT deck_id, CAST(max(slide_num) + 100 AS BIGINT), 'extra.mp3', 'slide not found' FROM a GROUP BY deck_id",
+    "snk4_subtitle_files": f"{SRT} SELECT c_custkey AS deck_id, coalesce(srt, '') AS srt FROM (SELECT DISTINCT c_custkey FROM customer) LEFT JOIN srt ON srt.deck_id = c_custkey",
     "src4_manifest": f"WITH {ENTRIES} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(entry_idx AS BIGINT) AS entry_idx, title, audio_file FROM entries",
     "src5_slide_documents": f"WITH {SLIDES} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, title, notes FROM slides",
     "src6_sidecars": f"WITH {EVENTS} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(ev_idx AS BIGINT) AS ev_idx, text, CAST(offset_ms AS BIGINT) AS offset_ms FROM matched WHERE deck_id % 9 <> 0",

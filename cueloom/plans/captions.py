@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cueloom.operators import align, segment, srt, timeline
 
@@ -42,3 +43,17 @@ def balanced_captions(slides: DataFrame, matched: DataFrame, width: int = segmen
     """As slide_captions, with lines balanced within a width."""
     lines = segment.segments(slides.where("notes is not null"), KEY, "notes", width)
     return align.align(lines.withColumnsRenamed({"source_start_offset": "start", "source_end_offset": "end"}), matched)
+
+
+def subtitle_file_for_each(timed: DataFrame, decks: DataFrame) -> DataFrame:
+    """deck_id and srt of every deck; one without captions has an empty file."""
+    return decks.select("deck_id").distinct().join(subtitle_files(timed), "deck_id", "left").select("deck_id", F.coalesce("srt", F.lit("")).alias("srt"))
+
+
+def caption_warnings(slides: DataFrame, entries: DataFrame, events: DataFrame) -> DataFrame:
+    """For slides with a manifest entry: no_duration where the audio's length is not known and the default is used, and
+    no_events where no timed words can be read, so that the slide has no captions. Slides without an entry are silent."""
+    narrated = slides.join(entries.select(*KEY).distinct(), KEY, "left_semi")
+    no_duration = narrated.where("audio_ms is null").select(*KEY, F.lit("no_duration").alias("code"), F.lit("the audio's length is not known; the default is used").alias("message"))
+    no_events = narrated.join(events.select(*KEY).distinct(), KEY, "left_anti").select(*KEY, F.lit("no_events").alias("code"), F.lit("no timed words; the slide has no captions").alias("message"))
+    return no_duration.unionByName(no_events)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cueloom.functions import text as tx
 from cueloom.functions.timecode import milliseconds, parse, timestamp
-from cueloom.operators import align, calibrate, fidelity, gaps, intervals, merge, segment, signal, srt, timeline
+from cueloom.operators import align, calibrate, fidelity, gaps, insertion, intervals, merge, segment, signal, srt, timeline
 from cueloom.plans import captions
 from cueloom.sinks import documents as sink
 from cueloom.sources import bindings as b
@@ -242,7 +242,9 @@ def gap3_worst_slide(spark, d):
 
 @query
 def gap3_event_disorder(spark, d):
-    at = F.floor(F.unix_micros("ts") / 1000).cast("bigint")
+    # From days and the clock, so that the session's time zone doesn't matter.
+    clock = (F.hour("ts") * 60 + F.minute("ts")) * 60_000 + F.floor(F.expr("extract(SECOND FROM ts)") * 1000)
+    at = F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("bigint") * 86_400_000 + clock
     events = b.table(spark, d, "events").select("user_id", F.col("event_id").alias("ev_idx"), at.alias("offset_ms"), F.lit(160).alias("duration_ms"))
     ends = events.groupBy("user_id").agg(F.max("offset_ms").alias("audio_ms"))
     return gaps.self_consistency(events, ends, ["user_id"]).select("user_id", "out_of_order")
@@ -258,6 +260,14 @@ def tl1_spoken_text(spark, d):
     return b.slides(spark, d).select(*KEY, merge.spoken_text().alias("spoken"), F.coalesce("audio_ms", F.lit(5000)).alias("duration_ms"), F.when(F.col("notes").isNull(), "silent").alias("code"))
 
 
+@query
+def tl1_warnings(spark, d):
+    """Every fourth slide lacks its sidecar, and every eleventh deck its audio."""
+    slides = b.slides(spark, d).withColumn("audio_ms", F.when(F.col("deck_id") % 11 != 0, F.col("audio_ms")))
+    heard = b.matched(spark, d).where("slide_num % 4 <> 0")
+    return captions.caption_warnings(slides, b.entries(spark, d), heard).select(*KEY, "code")
+
+
 @query
 def tl2_predicted_starts(spark, d):
     return _starts(spark, d).select(*KEY, "duration_ms", "predicted_ms")
@@ -322,7 +332,24 @@ def aud4_locate(spark, d):
 
 @query
 def aud5_sampling(spark, d):
-    return signal.sample_evenly(b.matched(spark, d).where("offset_ms >= 50"), KEY, "ev_idx", 7).select(*KEY, "ev_idx")
+    return signal.sample_evenly(b.matched(spark, d), KEY, "ev_idx", 7).where("offset_ms >= 50").select(*KEY, "ev_idx")
+
+
+@query
+def aud5_word_check(spark, d):
+    """Every eighth sample of a vector as a word: where it is found in its deck's track, at 64 samples a second."""
+    v = b.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("deck_id"), (F.col("vec_id") % 10 + 1).cast("int").alias("slide_num"), F.col("embedding").alias("samples"))
+    tracks = v.groupBy("deck_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("slide_num", "samples"))), lambda x: x["samples"])).alias("samples"))
+    each = v.select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("ev_idx"))
+    words = each.select(*KEY, "ev_idx", F.concat(F.lit("w"), "ev_idx").alias("text"), (F.col("ev_idx") / 8).alias("offset_s"), F.lit(0.1).alias("duration_s"), ((F.col("slide_num") - 1) * 1.01).alias("start_s"), F.lit(1.01).alias("scale"))
+    found = signal.check_words(words, v, tracks, rate=64)
+    return found.select(*KEY, "ev_idx", F.round("naive_delta", 6).alias("naive_delta"), F.round("implied_scale", 6).alias("implied_scale"), F.round("measured_s", 6).alias("measured_s"))
+
+
+@query
+def aud4_warnings(spark, d):
+    sound = b.entries(spark, d).where("audio_file is not null").select(*KEY, F.array(F.lit(0.0)).alias("samples"))
+    return signal.locate_warnings(b.entries(spark, d), sound).select(*KEY, "code")
 
 
 def _points(spark, d, noise):
@@ -342,6 +369,12 @@ def cal2_report(spark, d):
     return r.select("deck_id", F.round("k", 8).alias("k"), "n", F.round("rms", 6).alias("rms"), F.round("max_residual", 6).alias("max_residual"), "doubtful")
 
 
+@query
+def cal3_suggest(spark, d):
+    starts = _starts(spark, d).where("predicted_ms > 0").select("deck_id", (F.col("predicted_ms") / 1000).alias("predicted_s"), (F.col("predicted_ms") * 1.0012 / 1000).alias("measured_s"))
+    return calibrate.suggest(starts, ["deck_id"]).select("deck_id", F.round("k", 6).alias("k"), "n", F.round("rms", 6).alias("rms"), "doubtful")
+
+
 @query
 def cal2_missing(spark, d):
     return calibrate.missing(_starts(spark, d), _bounds(spark, d), KEY).select(*KEY)
@@ -456,6 +489,23 @@ def src3_notes(spark, d):
     return _docs(spark, d).select("doc_id", F.nullif(tx.strip(joined), F.lit("")).alias("notes"))
 
 
+@query
+def ext9_insertion(spark, d):
+    """Audio for slides and one slide more in each deck; files of every third slide are not there."""
+    audio = merge.audio_map(b.entries(spark, d))
+    extra = audio.groupBy("deck_id").agg((F.max("slide_num") + 100).alias("slide_num")).withColumn("audio_file", F.lit("extra.mp3"))
+    files = audio.where("slide_num % 3 <> 0").select("deck_id", "audio_file").unionByName(extra.select("deck_id", "audio_file")).distinct()
+    return insertion.plan(audio.unionByName(extra), files, b.slides(spark, d))
+
+
+@query
+def snk4_subtitle_files(spark, d):
+    """Decks without manifest entries have an empty file."""
+    decks = b.table(spark, d, "customer").select(F.col("c_custkey").alias("deck_id"))
+    timed = captions.predictive(b.slides(spark, d), b.matched(spark, d))
+    return captions.subtitle_file_for_each(timed, decks)
+
+
 @query
 def src4_manifest(spark, d):
     return source.manifest_entries(sink.manifests(b.entries(spark, d))).select(*KEY, "title", "audio_file", F.when(F.col("slide_num") == 2, F.row_number().over(Window.partitionBy(*KEY).orderBy("entry_idx")) - 1).otherwise(0).alias("entry_idx"))
