@@ -4,14 +4,17 @@ Method: merging Burrows-Wheeler transforms. Each shard of texts has the transfor
 are merged by refining their interleaving symbol by symbol, which also gives, as the depth at which neighbours part,
 the common prefixes, and as the unparted intervals the repeats. Suffixes of all shards are never sorted again.
 
-What goes into the shards is found first, without loss. Each window of WINDOW bytes has an anchor, the least hash of
-its ANCHOR-byte strings; equal windows have equal anchors, so windows whose anchor occurs once in all texts are
-unique. The windows of one anchor in a row make up a strip of text. Strips that are equal, as in copies, settle one
-another by their hash; what is left are strips that share an anchor but differ. They alone, each once, go to the
-bucket of their anchor, one shard for each chunk that sends some.
+What goes into the shards is found first, without loss. Each window of WINDOW bytes has an anchor, the first of its
+ANCHOR-byte strings with the least hash; equal windows have equal anchors in equal places, so windows whose anchor is
+that of no other run of windows are unique. The windows of one anchor in a row make up a strip of text. Strips are cut
+into cells by how far into its window the anchor lies, the finer the nearer it is to either end; what all windows of a
+cell have in common, the anchor and most of what is around it, is the cell's key. Equal windows have equal keys, so a
+passage that very many texts share does not gather what stands around it: that is in the keys. Cells that are equal, as
+in copies, settle one another by their hash; what is left are cells that share a key but differ. They alone, each once,
+go to the bucket of their key, one shard for each chunk that sends some.
 
 A symbol is SYMBOL bytes, and suffixes proceed by as many, so WINDOW bytes are WINDOW / SYMBOL rounds; a strip holds
-SYMBOL interleaved strings, one for each phase. Symbols, anchors and strips are compared by 64-bit hashes (anchors, where
+SYMBOL interleaved strings, one for each phase. Symbols, keys and cells are compared by 64-bit hashes (anchors, where
 only work is at stake, by 48).
 
 Cases: a null or empty text has no bytes; a repeat may lie within one text; rows of equal or null ids are texts like any
@@ -34,55 +37,87 @@ from cueloom.llm.rolling import byte_windows, mixed, packed48, unpacked48, windo
 WINDOW, ANCHOR, SYMBOL = 200, 64, 25
 UPPER48 = np.uint64(0xFFFFFFFFFFFF0000)
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<first:bigint,last:bigint>>, kept binary"
-#: Of an anchor: it occurs in another place. Of a strip: an equal one exists; others of its anchor differ; this chunk sends it.
+#: Of an anchor: another strip has it. Of a cell: an equal one exists; others of its key differ; this chunk sends it.
 REPEATED, SETTLED, MIXED, SENDER = 0, 1, 2, 3
-FOUND = "chunk int, kind int, bucket int, n long, bits binary, strips binary"
+
+
+
+#: Cells of the anchor's place in a window: from the window's start or end 0, 1, 2 to 3, 4 to 7, ... bytes.
+REACH = WINDOW - ANCHOR
+_NEAR = np.array([0, 1, *(1 << k for k in range(1, (REACH // 2).bit_length() - 1))])
+CELLS = np.unique(np.concatenate((_NEAR, [REACH // 2], REACH + 1 - _NEAR)))
+LOW32 = np.uint64(0xFFFFFFFF)
 
 
 class Strips:
-    """The runs of windows with one anchor value in the texts of a chunk: row, first and last + 1 window, and the value."""
+    """The runs of windows with one anchor in the texts of a chunk: row, first and last + 1 window, the anchor's place and value."""
 
     def __init__(self, texts: list[bytes]):
         self.texts = texts
         self.raw = [np.frombuffer(t, np.uint8) for t in texts]
-        row, first, last, value, places = [], [], [], [], []
+        row, first, last, anchor, hashes, at, self.begin = [], [], [], [], [], 0, np.zeros(len(texts), np.int64)
         for r, raw in enumerate(self.raw):
             if len(raw) < WINDOW:
                 continue
             h = byte_windows(raw, ANCHOR)
-            least = window_minima(h, WINDOW - ANCHOR + 1)
-            cut = np.flatnonzero(least[1:] != least[:-1]) + 1
+            # Half of the hash, then the place: the least is the first of equals.
+            place = (window_minima((h & ~LOW32) | np.arange(len(h), dtype=np.uint64), REACH + 1) & LOW32).astype(np.int64)
+            cut = np.flatnonzero(place[1:] != place[:-1]) + 1
             first.append(np.concatenate(([0], cut)))
-            last.append(np.concatenate((cut, [len(least)])))
-            value.append(least[first[-1]])
+            last.append(np.concatenate((cut, [len(place)])))
+            anchor.append(place[first[-1]])
             row.append(np.full(len(first[-1]), r))
-            # A place is an anchor if its hash is the least of some window over it.
-            held = window_minima(np.concatenate([np.zeros(WINDOW - ANCHOR, np.uint64), least, np.zeros(WINDOW - ANCHOR, np.uint64)]), WINDOW - ANCHOR + 1, most=True)
-            places.append(h[held == h])
+            hashes.append(h)
+            self.begin[r], at = at, at + len(h)
         join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        self.row, self.first, self.last = join(row, np.int64), join(first, np.int64), join(last, np.int64)
-        self.value = join(value, np.uint64) & UPPER48
-        self.anchors = Distinct(join(places, np.uint64) & UPPER48)
+        self.row, self.first, self.last, self.anchor = (join(x, np.int64) for x in (row, first, last, anchor))
+        #: Of all strings of ANCHOR bytes; those of a row from its begin.
+        self.h = join(hashes, np.uint64)
+        # The least of many hashes are small; mixed once more they fill all buckets alike.
+        self.value = mixed(self.h[self.begin[self.row] + self.anchor]) & UPPER48
+        self.anchors = Distinct(self.value)
+
+    def repeated(self, flags: np.ndarray) -> Cells:
+        """The cells of the strips whose anchor has its flag set."""
+        return Cells(self, np.flatnonzero(flags[np.searchsorted(self.anchors.values, self.value)]) if len(self.value) else np.empty(0, np.int64))
+
+    def hash(self, row: np.ndarray, start: np.ndarray, length: np.ndarray, parts: int) -> np.ndarray:
+        """A hash of length bytes from start, of parts strings of ANCHOR bytes that cover them."""
+        out = np.zeros(len(row), np.uint64)
+        for k in range(parts):
+            out = mixed(out + self.h[self.begin[row] + start + k * (length - ANCHOR) // (parts - 1)])
+        return out
+
+
+class Cells:
+    """Parts of strips with the anchor in one cell of the window: row, first and last + 1 window, key, and a hash of the text."""
+
+    def __init__(self, strips: Strips, chosen: np.ndarray):
+        self.texts = strips.texts
+        row, first, last, anchor = (x[chosen] for x in (strips.row, strips.first, strips.last, strips.anchor))
+        # A window's distance to its anchor falls from anchor - first to anchor - last + 1.
+        low = np.searchsorted(CELLS, anchor - last + 1, "right") - 1
+        many = np.searchsorted(CELLS, anchor - first, "right") - low
+        of = np.repeat(np.arange(len(chosen)), many)
+        cell = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        self.row, anchor = row[of], anchor[of]
+        near, far = CELLS[cell], CELLS[cell + 1] - 1
+        self.first, self.last = np.maximum(first[of], anchor - far), np.minimum(last[of], anchor - near + 1)
+        key = strips.hash(self.row, anchor - near, WINDOW - far + near, 4)
+        self.both = np.empty(len(of), [("anchor", "<u8"), ("text", "<u8")])
+        self.both["anchor"] = mixed(key + cell.astype(np.uint64))
+        self.both["text"] = strips.hash(self.row, self.first, self.last - self.first + WINDOW - 1, 5)
 
     def text(self, i: int) -> bytes:
         return self.texts[self.row[i]][self.first[i] : self.last[i] + WINDOW - 1]
 
-    def repeated(self, flags: np.ndarray) -> np.ndarray:
-        """The strips whose anchor has its flag set."""
-        return np.flatnonzero(flags[np.searchsorted(self.anchors.values, self.value)]) if len(self.value) else np.empty(0, np.int64)
-
-    def hashes(self, strips: np.ndarray) -> Distinct:
-        """Distinct strips: by anchor first, so that those of one anchor share a bucket, then by text."""
-        from xxhash import xxh64_intdigest
-
-        of = np.array([xxh64_intdigest(self.text(i), 3) for i in strips], np.uint64) if len(strips) else np.empty(0, np.uint64)
-        both = np.empty(len(strips), [("anchor", "<u8"), ("text", "<u8")])
-        both["anchor"], both["text"] = self.value[strips], of
-        return Pairs(both)
+    def distinct(self) -> Pairs:
+        """Distinct cells: by key first, so that those of one key share a bucket, then by text."""
+        return Pairs(self.both)
 
 
 class Pairs(Distinct):
-    """Distinct pairs of anchor and text hash, in order."""
+    """Distinct pairs of key and text hash, in order."""
 
     def __init__(self, both: np.ndarray):
         self.order = np.lexsort((both["text"], both["anchor"]))
@@ -124,7 +159,7 @@ def _strips(buckets: int):
 
     def send(key, table, found):
         s = Strips(chunks.texts_of(table))
-        d = s.hashes(s.repeated(chunks.answers(found, REPEATED, len(s.anchors.values))))
+        d = s.repeated(chunks.answers(found, REPEATED, len(s.anchors.values))).distinct()
         many = d.counts() > 1
         out = [(b, k.stop - k.start, d.values[k].tobytes(), chunks.bits(many[k])) for b, k in chunks.by_bucket(d.values["anchor"], buckets)]
         return _rows(out, _chunk(table), kinds).select(["bucket", "chunk", "n", "hashes", "many"])
@@ -133,14 +168,14 @@ def _strips(buckets: int):
 
 
 def _settle(key, table):
-    """Which strips have an equal one; whose anchors have different strips; and which chunk sends each of those."""
+    """Which cells have an equal one; whose keys have different cells; and which chunk sends each of those."""
     rows = table.to_pydict()
     both = np.concatenate([np.frombuffer(x, [("anchor", "<u8"), ("text", "<u8")]) for x in rows["hashes"]])
     d = Pairs(both)
     settled = d.any(np.concatenate([chunks.flags_of(x, n) for x, n in zip(rows["many"], rows["n"], strict=True)])) | (d.counts() > 1)
-    # A group of strips that are all settled has nothing to find out; one strip alone holds its anchor twice.
+    # Cells that are all settled, or one alone, have nothing to find out: windows of one cell differ.
     groups = Distinct(d.values["anchor"])
-    differ = groups.spread(groups.any(~settled))
+    differ = groups.spread(groups.any(~settled) & (groups.counts() > 1))
     chunk = np.repeat(np.array(rows["chunk"], np.int64), rows["n"])
     sender = chunk == d.spread(d.least(chunk))
     tell = lambda kind, flags: chunks.answer_rows(rows["chunk"], kind, key[0].as_py(), rows["n"], flags)
@@ -152,16 +187,16 @@ def _shards(buckets: int):
 
     def send(key, table, found):
         s = Strips(chunks.texts_of(table))
-        strips = s.repeated(chunks.answers(found, REPEATED, len(s.anchors.values)))
-        d = s.hashes(strips)
+        cells = s.repeated(chunks.answers(found, REPEATED, len(s.anchors.values)))
+        d = cells.distinct()
         asked, sender = (chunks.answers(found, k, len(d.values)) for k in (MIXED, SENDER))
-        one = strips[d.order[d.first]] if len(strips) else strips
+        one = d.order[d.first]
         out = []
         pack = zstandard.ZstdCompressor(level=1).compress
         for b, k in chunks.by_bucket(d.values["anchor"], buckets):
             sent = k.start + np.flatnonzero((asked & sender)[k])
             if len(sent):
-                texts = [s.text(i) for i in one[sent]]
+                texts = [cells.text(i) for i in one[sent]]
                 lengths = np.array([len(t) for t in texts], "<u4").tobytes()
                 out.append((b, len(sent), pack(lengths + b"".join(texts))))
         return _rows(out, _chunk(table), kinds).select(["bucket", "chunk", "n", "strips"])
@@ -256,24 +291,31 @@ def _merge(key, table):
 def _remove(key, table, found):
     texts = chunks.texts_of(table)
     s = Strips(texts)
-    strips = s.repeated(chunks.answers(found, REPEATED, len(s.anchors.values)))
-    d = s.hashes(strips)
+    cells = s.repeated(chunks.answers(found, REPEATED, len(s.anchors.values)))
+    d = cells.distinct()
     settled, asked, sender = (chunks.answers(found, k, len(d.values)) for k in (SETTLED, MIXED, SENDER))
-    one = strips[d.order[d.first]] if len(strips) else strips
+    one = d.order[d.first]
     sent = np.flatnonzero(asked & sender)
-    lengths = s.last[one[sent]] - s.first[one[sent]] + WINDOW - 1
+    lengths = cells.last[one[sent]] - cells.first[one[sent]] + WINDOW - 1
     flags = chunks.answers(found, 4, int(lengths.sum()))
     cuts = np.cumsum([0, *lengths])
-    starts: list[list[np.ndarray]] = [[] for _ in texts]
-    for i in strips[d.spread(settled)]:
-        starts[s.row[i]].append(np.arange(s.first[i], s.last[i]))
-    for j, k in enumerate(sent):
-        if not settled[k]:  # then it occurs once, and its one place is here
-            i = one[k]
-            starts[s.row[i]].append(s.first[i] + np.flatnonzero(flags[cuts[j] : cuts[j + 1]]))
+    # Bytes of all texts in a row: how many more repeated windows cover each than the one before it.
+    base = np.cumsum([0, *map(len, texts)])
+    change = np.zeros(base[-1] + 1, np.int32)
+    same = np.flatnonzero(d.spread(settled))
+    np.add.at(change, base[cells.row[same]] + cells.first[same], 1)
+    np.add.at(change, base[cells.row[same]] + cells.last[same] + WINDOW - 1, -1)
+    # The others occur once each, and that place is here.
+    of = np.repeat(np.arange(len(sent)), lengths)
+    hit = np.flatnonzero(flags & ~settled[sent][of])
+    i = one[sent[of[hit]]]
+    at = base[cells.row[i]] + cells.first[i] + hit - cuts[of[hit]]
+    np.add.at(change, at, 1)
+    np.add.at(change, at + WINDOW, -1)
+    removed = np.cumsum(change[:-1]) > 0
     out = {"n_bytes": [], "n_removed": [], "spans": [], "kept": []}
     for r, text in enumerate(texts):
-        gone = chunks.covered(np.concatenate(starts[r]), WINDOW, len(text)) if starts[r] else np.zeros(len(text), bool)
+        gone = removed[base[r] : base[r + 1]]
         first, last = chunks.runs(gone)
         out["n_bytes"].append(len(text))
         out["n_removed"].append(int(gone.sum()))
