@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.operators import align, segment, srt, timeline
+from cueloom.operators import align, gaps, segment, srt, timeline
+from cueloom.operators.merge import spoken_text
 
 KEY = ["deck_id", "slide_num"]
 
@@ -57,3 +58,25 @@ def caption_warnings(slides: DataFrame, entries: DataFrame, events: DataFrame) -
     no_duration = narrated.where("audio_ms is null").select(*KEY, F.lit("no_duration").alias("code"), F.lit("the audio's length is not known; the default is used").alias("message"))
     no_events = narrated.join(events.select(*KEY).distinct(), KEY, "left_anti").select(*KEY, F.lit("no_events").alias("code"), F.lit("no timed words; the slide has no captions").alias("message"))
     return no_duration.unionByName(no_events)
+
+
+def subtitles(slides: DataFrame, entries: DataFrame, events: DataFrame, bounds: DataFrame | None = None, width: int = segment.DEFAULT_WIDTH, gap_ms: int = align.DEFAULT_GAP_MS) -> tuple[DataFrame, DataFrame]:
+    """From slides, manifest entries and timed words to captions on the deck's timeline, and the warnings of all steps.
+
+    Captions show the override of a slide, if it has one, else its notes. They are lines balanced within width."""
+    shown = slides.withColumn("notes", spoken_text())
+    matched = align.match(shown, events)
+    lines = segment.segments(shown.where("notes is not null"), KEY, "notes", width).withColumnsRenamed({"source_start_offset": "start", "source_end_offset": "end"})
+    # Slides without timed words have no captions.
+    timed = align.align(lines.join(events.select(*KEY).distinct(), KEY, "left_semi"), matched, gap_ms).select(*KEY, "seg_idx", "text", "start_ms", "end_ms")
+    starts = timeline.predicted_starts(slides.select(*KEY, "audio_ms"))
+    warnings = caption_warnings(slides, entries, events).unionByName(align.unmatched(events, matched))
+    if bounds is None or bounds.isEmpty():
+        return timeline.place(timed, starts), warnings
+    placed = timeline.scales(starts, bounds)
+    return timeline.place_measured(timed, placed), warnings.unionByName(timeline.scale_warnings(timed, placed))
+
+
+def suspects(slides: DataFrame, events: DataFrame) -> DataFrame:
+    """Stretches of notes that were likely not spoken."""
+    return gaps.dropped_narration(slides, align.match(slides, events))

@@ -298,6 +298,12 @@ def tl3_measured_captions(spark, d):
     return captions.measured(b.slides(spark, d), b.matched(spark, d), _bounds(spark, d))[0]
 
 
+@query
+def tl3_subtitles(spark, d):
+    """The whole way from notes and timed words to balanced captions on the measured timeline."""
+    return captions.subtitles(b.slides(spark, d), b.entries(spark, d), b.events(spark, d), _bounds(spark, d))[0]
+
+
 @query
 def tl3_warnings(spark, d):
     return captions.measured(b.slides(spark, d), b.matched(spark, d), _bounds(spark, d))[1].select(*KEY, "code")
