@@ -6,7 +6,7 @@ those of its substrings that can stand in for a segment of a line as long or up
 only the few places that leave the rest of the edits to either side. Candidates are verified by a bit-parallel
 automaton over the band of 2 * RADIUS + 1 diagonals: three masks, one for each number of edits, moved on by the
 characters of the longer line, after what both begin and end with has been passed over by halves. Before that, counts
-of letters rule out most candidates: an edit moves them by 2 at most. Those of some frequent letters go with the
+of letters rule out most candidates: an edit moves them by 2 at most. Those of classes of letters go with the
 segments, so that the join itself drops candidates that a common segment brings together; those of all letters follow.
 
 Equal lines become one before anything is compared, by a 64-bit hash, so copies cost nothing. Lines of less than
@@ -49,9 +49,10 @@ def shifts(i: int, shorter: int, radius: int = RADIUS) -> range:
     return range(max(-i, shorter - (radius - i)), min(i, shorter + (radius - i)) + 1)
 
 
-def _key(line: Column, length: Column, i: int, shift: int) -> Column:
+def _key(units: Column, length: Column, i: int, shift: int) -> Column:
+    """units: a line in UTF-32, where a character's place is known without looking at those before it."""
     begin, size = segment(length, i)
-    return F.xxhash64(F.lit(i), length, F.substring(line, (begin + shift + 1).cast("int"), size.cast("int")))
+    return F.xxhash64(F.lit(i), length, F.substring(units, (4 * (begin + shift) + 1).cast("int"), (4 * size).cast("int")))
 
 
 def within(a: Column, b: Column, radius: int = RADIUS) -> Column:
@@ -94,39 +95,71 @@ def within(a: Column, b: Column, radius: int = RADIUS) -> Column:
     return bind(bind(rest, lambda p: F.struct(letters(p["a"]).alias("x"), letters(p["b"]).alias("y"))), run)
 
 
-def _count(line: Column, letter: str) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
+#: An edit moves the counts of these classes by 2 at most. A long holds them, four bits each.
+CLASSES = (*"eatonirshdl", "ucm", "wfgy", "pbvk", " .,")
+LETTERS = "abcdefghijklmnopqrstuvwxyz .,"
 
 
-FREQUENT, LETTERS = "eatonirs", "abcdefghijklmnopqrstuvwxyz .,"
+def _count(line: Column, letters: str) -> Column:
+    return F.length(line) - F.length(F.translate(line, letters, ""))
 
 
 def _signature(line: Column) -> Column:
-    """The counts, modulo 256, of eight letters in a long."""
-    return sum((F.shiftleft(_count(line, c).bitwiseAND(F.lit(255)).cast("long"), 8 * k) for k, c in enumerate(FREQUENT)), F.lit(0).cast("long"))
+    """The counts, modulo 16, of the letters of each class in a long."""
+    return sum((F.shiftleft(_count(line, c).bitwiseAND(F.lit(15)).cast("long"), 4 * k) for k, c in enumerate(CLASSES)), F.lit(0).cast("long"))
 
 
 def _apart(a: Column, b: Column) -> Column:
     """How far the counts of two signatures are apart, at least."""
     total = F.lit(0)
-    for k in range(len(FREQUENT)):
-        d = F.abs(F.shiftright(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * k).bitwiseAND(F.lit(255)))
-        total = total + F.least(d, 256 - d)
+    for k in range(len(CLASSES)):
+        d = F.abs(F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15)))
+        total = total + F.least(d, 16 - d)
     return total
 
 
-def links(lines: DataFrame) -> DataFrame:
-    """a and b, hashes of different lines within RADIUS edits, once each; lines has id (the hash) and line, once each."""
+#: What a line is asked for: how much shorter the other one is, the segment, and the shift; the plain ones are the index.
+PROBES = [(d, i, s) for d in range(RADIUS + 1) for i in range(RADIUS + 1) for s in shifts(i, d)]
+PLAIN, EQUAL, SHORTER = 0, 1, 2
+
+
+def shared_keys(lines: DataFrame) -> DataFrame:
+    """id, key and kind of those keys that are in the index and that lines with different hashes have. lines has id (the hash) and line, copies too.
+
+    Keys are worked out before copies are joined, so that no text is shuffled; what a key has in common is an aggregate,
+    so nothing grows with the square of those that share it."""
     n = F.length("line")
-    long = lines.where(n >= LEAST).withColumn("n", n).withColumn("letters", _signature(F.col("line")))
-    index = long.select("id", "letters", F.explode(F.array(*[_key(F.col("line"), F.col("n"), i, 0) for i in range(RADIUS + 1)])).alias("key"))
-    probes = [_key(F.col("line"), F.col("n") - d, i, s) for d in range(RADIUS + 1) for i in range(RADIUS + 1) for s in shifts(i, d)]
-    probe = long.select(F.col("id").alias("other"), F.col("letters").alias("other_letters"), F.explode(F.array(*probes)).alias("key"))
-    pairs = probe.join(index.hint("shuffle_hash"), "key").where((F.col("id") != F.col("other")) & (_apart(F.col("letters"), F.col("other_letters")) <= 2 * RADIUS)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    first, second = (lines.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
-    texts = pairs.join(first, "a").join(second, "b")
+    units = lines.where(n >= LEAST).select("id", n.alias("n"), F.encode("line", "UTF-32").alias("u"))
+    keys = [_key(F.col("u"), F.col("n") - d, i, s).alias(f"k{j}") for j, (d, i, s) in enumerate(PROBES)]
+    once = units.select("id", *keys).groupBy("id").agg(*[F.max(f"k{j}").alias(f"k{j}") for j in range(len(PROBES))])
+    kinds = F.array(*[F.lit(SHORTER if d else EQUAL if s else PLAIN) for d, _, s in PROBES])
+    rows = once.select("id", F.posexplode(F.array(*[f"k{j}" for j in range(len(PROBES))])).alias("at", "key")).select("id", "key", F.get(kinds, F.col("at")).alias("kind")).repartition("key")
+    several = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("kind").alias("least")).where(f"low <> high and least = {PLAIN}")
+    return rows.join(several.select("key").hint("shuffle_hash"), "key", "left_semi")
+
+
+def candidates(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """a and b, a < b: hashes of lines that share a key and may be near; once each.
+
+    Lines of one length ask for one another, of which the one with the larger hash is enough."""
+    signed = keys.join(texts.select("id", _signature(F.col("line")).alias("letters")), "id")
+    index = signed.where(F.col("kind") == PLAIN).select("id", "letters", "key")
+    probe = signed.select(F.col("id").alias("other"), F.col("letters").alias("other_letters"), "key", "kind")
+    asked = F.when(F.col("kind") == SHORTER, F.col("id") != F.col("other")).otherwise(F.col("id") < F.col("other"))
+    found = probe.join(index.hint("shuffle_hash"), "key").where(asked & (_apart(F.col("letters"), F.col("other_letters")) <= 2 * RADIUS))
+    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def links(lines: DataFrame) -> DataFrame:
+    """a and b, hashes of different lines within RADIUS edits, once each; lines has id (the hash) and line, copies too."""
+    keys = stored(shared_keys(lines), "line-keys")
+    # Only texts of lines that share a key are looked up; the table of these is broadcast if it is known to be small.
+    texts = stored(lines.join(keys.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
+    pairs = stored(candidates(keys, texts), "line-pairs")
+    first, second = (texts.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
+    both = pairs.join(first, "a").join(second, "b")
     ordered = F.when(F.length("line_a") <= F.length("line_b"), F.struct(F.col("line_a").alias("s"), F.col("line_b").alias("l"))).otherwise(F.struct(F.col("line_b").alias("s"), F.col("line_a").alias("l")))
-    near = texts.select("a", "b", ordered.alias("p")).where((F.length("p.l") - F.length("p.s") <= RADIUS) & (F.length("p.s") >= LEAST))
+    near = both.select("a", "b", ordered.alias("p")).where((F.length("p.l") - F.length("p.s") <= RADIUS) & (F.length("p.s") >= LEAST))
     apart = sum((F.abs(_count(F.col("p.s"), c) - _count(F.col("p.l"), c)) for c in LETTERS), F.lit(0))
     near = near.where(apart <= 2 * RADIUS)
     return near.where(within(F.col("p.s"), F.col("p.l"))).select("a", "b")
@@ -136,7 +169,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """For each row of docs: doc_id, n_lines, n_linked (lines with a different one near), n_links (links of its lines),
     n_removed (lines of a class that stands earlier), kept (numbers of the other lines) and classes (a number for each line's class, in order)."""
     number = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("number", "line")).select("doc_id", "number", "line", F.xxhash64("line").alias("id"))
-    pairs = stored(links(number.select("id", "line").dropDuplicates(["id"])), "line-links")
+    pairs = stored(links(number.select("id", "line")), "line-links")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     known = stored(ends.join(components(pairs), F.col("id") == F.col("node"), "left").select("id", "links", F.coalesce("root", "id").alias("root")), "line-classes")
     place = lambda: F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("number").alias("k"))
