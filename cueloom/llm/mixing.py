@@ -10,7 +10,7 @@ cumulative slot counts of the sources, so that every stretch of the schedule has
 r-th slot of a source takes block r of that source's shuffled words, read from the start again after their end.
 A block may span documents and a document blocks; the pieces are the rows of the result.
 
-Running numbers over a hot source are made in two steps, over bins of bounded size and then within each bin, so
+Running numbers over a hot source are made in steps, over runs of bins, bins of bounded size, and within each bin, so
 no task holds a whole source: document bins come from the shuffle hash, schedule bins are runs of `BIN` slots.
 Only the sources themselves, a row each, are ordered as a whole.
 
@@ -30,7 +30,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_TIMES = 2
 BLOCK_WORDS = 64
-BIN = 4096
+#: Slots and documents that one task puts in order at least; bins that one task adds up.
+BIN, DOCS_BIN, RUN = 4096, 256, 1024
 SEED = "cueloom-mix"
 
 
@@ -59,18 +60,27 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return unit.select("source", "source_size", "weight", target.alias("target")).withColumn("take", F.least(F.round("target").cast("long"), F.col("source_size") * most_times))
 
 
-def running(df: DataFrame, key: list[str], bins: str, order: list[str], value: str, name: str) -> DataFrame:
-    """df with name: the sum of value over the rows of the same key before this one, by bin and order; bins are small, keys may be not."""
-    whole = df.groupBy(*key, bins).agg(F.sum(value).alias("bin_sum"))
-    before = Window.partitionBy(*key).orderBy(bins).rowsBetween(Window.unboundedPreceding, -1)
-    starts = whole.select(*key, bins, F.coalesce(F.sum("bin_sum").over(before), F.lit(0)).alias("bin_start"))
-    same = F.lit(True)
+def _with(df: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the other columns of starts, by keys that may be null."""
     a, b = df.alias("a"), starts.alias("b")
-    for k in [*key, bins]:
+    same = F.lit(True)
+    for k in keys:
         same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    within = Window.partitionBy(*key, bins).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = a.join(b, same).select("a.*", "b.bin_start")
-    return joined.withColumn(name, F.col("bin_start") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("bin_start")
+    return a.join(b, same).select("a.*", *[f"b.{c}" for c in starts.columns if c not in keys])
+
+
+def running(df: DataFrame, key: list[str], bins: str, order: list[str], value: str, name: str) -> DataFrame:
+    """df with name: the sum of value over the rows of the same key before this one, by bin and order.
+
+    Bins are small, keys may be not: bins are added up in runs of RUN, and the runs of a key in order."""
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(earlier(w)), F.lit(0))
+    whole = df.groupBy(*key, bins).agg(F.sum(value).alias("bin_sum")).withColumn("run", F.expr(f"{bins} div {RUN}"))
+    runs = whole.groupBy(*key, "run").agg(F.sum("bin_sum").alias("run_sum"))
+    runs = runs.select(*key, "run", so_far("run_sum", Window.partitionBy(*key).orderBy("run")).alias("run_start"))
+    starts = _with(whole, runs, [*key, "run"]).select(*key, bins, (F.col("run_start") + so_far("bin_sum", Window.partitionBy(*key, "run").orderBy(bins))).alias("bin_start"))
+    joined = _with(df, starts, [*key, bins])
+    return joined.withColumn(name, F.col("bin_start") + so_far(value, Window.partitionBy(*key, bins).orderBy(*order))).drop("bin_start")
 
 
 def _reversed_bits(i: Column, bits: Column) -> Column:
@@ -123,7 +133,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     s = sources.alias("s")
     placed = sized.alias("d").join(F.broadcast(s) if sources.count() <= 100_000 else s, F.col("d.source").eqNullSafe(F.col("s.source")))
     placed = placed.select("d.*", "s.sid", "s.source_size", "s.target", "s.take")
-    n_bins = max(1, sized.count() // BIN)
+    n_bins = max(1, sized.count() // DOCS_BIN)
     placed = placed.withColumn("bin", F.pmod("h", F.lit(n_bins)))
     placed = stored(running(placed, ["sid"], "bin", ["h", "doc_id"], "size", "start"), "mix-places")
     # A pass of a document covers the words [times * source_size + start, ... + size) of its source's endless stream, and so some ranks of slots.
