@@ -246,6 +246,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """shard, place, doc_id, first (ids of the shard before the document), n_tokens and ids_crc32, for each document in the files at path."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder_of.cache_clear()  # the files are written: a worker that lives on needs no encoder any more
         for batch in batches:
             for content in batch.column("content"):
                 reader = ShardReader(content.as_py())
