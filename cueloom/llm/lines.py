@@ -153,8 +153,10 @@ def candidates(keys: DataFrame, texts: DataFrame) -> DataFrame:
 def links(lines: DataFrame) -> DataFrame:
     """a and b, hashes of different lines within RADIUS edits, once each; lines has id (the hash) and line, copies too."""
     keys = stored(shared_keys(lines), "line-keys")
-    # Only texts of lines that share a key are looked up; the table of these is broadcast if it is known to be small.
-    texts = stored(lines.join(keys.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
+    # Only texts of lines that share a key are kept. Copies are joined before the shuffle, so a line that is everywhere
+    # doesn't gather; if the ids are known to be few, Spark looks them up before it joins copies.
+    once = lines.groupBy("id").agg(F.min("line").alias("line"))
+    texts = stored(once.join(keys.select("id").distinct(), "id", "left_semi"), "line-texts")
     pairs = stored(candidates(keys, texts), "line-pairs")
     first, second = (texts.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
     both = pairs.join(first, "a").join(second, "b")
