@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueloom.llm import decontaminate, mixing, quality, simhash, tokens
+from cueloom.llm import decontaminate, mixing, quality, shingles, tokens
 from cueloom.llm.common import stored, table
 
 
@@ -19,8 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more), the one with the smallest id."""
+    return shingles.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
