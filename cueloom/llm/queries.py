@@ -59,7 +59,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the number of candidates and of findings, where they start, and a digest of the findings."""
-    scanned = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark, secrets.findings()))
+    scanned = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark, secrets.findings() + secrets.assigned()))
     found = F.filter("findings", lambda x: x["secret"])
     return scanned.select(
         "doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(found).cast("long").alias("n_findings"),

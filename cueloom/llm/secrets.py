@@ -1,7 +1,8 @@
 """Secret scans: candidate strings in a text, and a random forest that tells secrets from look-alikes.
 
-Candidates are maximal runs of 16 or more characters of the alphabets that keys and tokens use, plus strings with
-a known prefix. The forest looks at the candidate's length, its character transitions, how much of it common words
+Candidates are maximal runs of 16 or more characters of the alphabets that keys and tokens use, strings with a known
+prefix, values of 4 or more characters assigned to a name like password, of any characters if quoted, and passwords in
+connection strings. A value is a candidate without the name before it. The forest looks at the candidate's length, its character transitions, how much of it common words
 cover, whether it stands in a path or address, and the words beside it. It is trained on the driver from labelled
 findings: `findings` gives a fixed, seeded list of them, of bounded size, and a caller can pass other ones. Each
 tree becomes nested conditional expressions, so scanning is one projection without shuffles or Python.
@@ -22,13 +23,23 @@ from pyspark.sql import functions as F
 
 from cueloom.llm.common import bind
 
-CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}"
 #: How many characters beside a candidate count as its neighbours.
 BEFORE, AFTER = 48, 24
 CUE = r"(?i)(?:secret|token|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private[_ -]?key|client[_ -]?id|key)\W{0,6}$"
 NEAR = r"(?i)secret|token|passw|api.?key|access.?key|bearer|credential|private"
 TAME = r"(?i)(?:sha ?1|sha ?256|md5|commit|revision|checksum|digest|uuid|guid|etag|hash|example|sample|placeholder|dummy|your)"
 KNOWN = r"^(?:AKIA[0-9A-Z]{12,}|ASIA[0-9A-Z]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|sk[_-](?:live|test)?[_-]?[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{12,}|glpat-[A-Za-z0-9_-]{16,}|npm_[A-Za-z0-9]{20,})"
+#: A value without quotes, and the name and sign before a value.
+BARE = r"""(?![=:>])[^\s"'`,;<>()\[\]{}&|]{3,}[^\s"'`,;<>()\[\]{}&|.:?]"""
+NAMES = r"(?i:secret|token|passw(?:or)?d|passphrase|pwd|api[_ -]?key|access[_ -]?key|secret[_ -]?key|private[_ -]?key|auth|bearer|credentials?)"
+SET = NAMES + r"""["']?[ \t]{0,3}(?::=|=>|==?|:)[ \t]{0,3}"""
+CANDIDATE = "|".join([
+    rf"""(?<=["'])(?<={SET}["'])[^"'\r\n]{{4,}}(?=["'])""",
+    rf"(?<=[:=> \t])(?<={SET}){BARE}",
+    r"""(?<=:)(?<=://[^\s:/@"']{0,64}:)[^\s/"']{3,}(?=@)""",
+    rf"(?<![A-Za-z0-9+/_=\-])(?![A-Za-z0-9_\-]{{0,40}}{NAMES}==?{BARE})[A-Za-z0-9+/_=\-]{{16,}}",
+    "(?<![A-Za-z0-9])" + KNOWN.removeprefix("^"),
+])
 WORDS = "the and for that with this from have not are was which their will would there been were more when who time into only other new some could these two may then first any our over such than now its like also after made many most through where much should well people down own just because good each those feel seem how high too place little world very still nation hand old life tell write become here show house both between need mean call develop under last right move thing general school never same another begin while number part turn real leave might want point form off child few small since against ask late home interest large person end open public follow during present without again hold govern around possible head consider word program problem however lead system set order eye plan run keep face fact group play stand increase early course change help line test user name value data file path index config main class string function return object array error debug info server client default example version update install package module import export license copyright"
 DICTIONARY = "(?i)" + "|".join(sorted({w for w in WORDS.split() if len(w) > 3}, key=lambda w: (-len(w), w)))
 
@@ -40,6 +51,8 @@ FEATURES = {
     "lower": "cast(regexp_count(c, '[a-z]') as double) / length(c)",
     "hex": "cast(regexp_count(c, '[0-9a-f]') as double) / length(c)",
     "marks": "cast(regexp_count(c, '[+/_=-]') as double) / length(c)",
+    "odd": "cast(regexp_count(c, '[^A-Za-z0-9+/_=-]') as double) / length(c)",
+    "calls": r"if(rlike(c, '^[$%{<*]|^[A-Za-z_]+[.][A-Za-z_.]+$| [a-z]+ ') or rlike(after, '^[(\\[{]'), 1D, 0D)",
     "letter_digit": "cast(regexp_count(c, '[A-Za-z](?=[0-9])') + regexp_count(c, '[0-9](?=[A-Za-z])') as double) / length(c)",
     "case_change": "cast(regexp_count(c, '[a-z](?=[A-Z])') + regexp_count(c, '[A-Z](?=[a-z])') as double) / length(c)",
     "repeats": r"cast(regexp_count(c, '(.)(?=\\1)') as double) / length(c)",
@@ -99,6 +112,36 @@ def findings(n: int = 1_600, seed: int = 11) -> list[tuple[str, str, str, bool]]
     return [(*(secret() if i % 2 else other()), bool(i % 2)) for i in range(n)]
 
 
+def assigned(n: int = 1_200, seed: int = 12) -> list[tuple[str, str, str, bool]]:
+    """n labelled values of names and of connection strings, short ones too, in the form of findings."""
+    r = random.Random(seed)
+    alnum, marks, plain = string.ascii_letters + string.digits, "@!.#$%^*?~-_+", WORDS.split()
+    pick = lambda letters, k: "".join(r.choices(letters, k=k))
+
+    def secret() -> str:
+        word = r.choice(plain)
+        return r.choice([
+            lambda: pick(alnum, r.randint(6, 18)), lambda: pick(alnum + marks, r.randint(7, 18)), lambda: word.capitalize() + pick(string.digits, r.randint(2, 5)) + pick(marks, r.randint(0, 2)),
+            lambda: "".join(r.choice([c, c.upper(), r.choice("0134@$")]) for c in word + r.choice(plain)) + pick(string.digits + marks, r.randint(1, 3)), lambda: word + pick(marks, 1) + r.choice(plain) + pick(string.digits, r.randint(1, 4)),
+            lambda: "xoxb-" + pick(string.digits, r.randint(10, 12)), lambda: "eyJ" + pick(alnum, 12),
+        ])()
+
+    def other() -> str:
+        word = r.choice(plain)
+        return r.choice([
+            lambda: word + r.choice(["", "s", "ed"]), lambda: r.choice(["null", "None", "true", "false", "string", "required", "optional", "changeme", "password", "secret", "undefined", "xxxxxxxx", "********", "your_password", "example"]), lambda: f"{word}.{r.choice(plain)}",
+            lambda: "${" + word.upper() + "}", lambda: "$" + word.upper() + "_" + r.choice(plain).upper(), lambda: f"{word}_{r.choice(plain)}", lambda: f"<{word}>", lambda: " ".join(r.choices(plain, k=r.randint(2, 6))), lambda: word + r.choice(plain).capitalize(),
+        ])()
+
+    out = []
+    for i in range(n):
+        c = (secret if i % 2 else other)()
+        name, prose = r.choice(["password", "passwd", "pwd", "token", "secret", "api_key", "DB_PASSWORD", "auth", "passphrase"]), " ".join(r.choices(plain, k=r.randint(0, 4)))
+        before, after = r.choice([(f'{name} = "', '"'), (f"{name}: ", "\n"), (f"{name}=", " "), (f'"{name}": "', '",'), (f"{name} = '", "'"), (f"{r.choice(['postgres', 'mysql', 'https', 'amqp'])}://{r.choice(plain)}:", "@" + r.choice(plain))])
+        out.append((c, f"{prose} {before}", after + r.choice(["", " " + r.choice(plain)]), bool(i % 2)))
+    return out
+
+
 @dataclass(frozen=True)
 class Node:
     """A leaf if feature is empty."""
