@@ -4,26 +4,31 @@ The symbols of the automaton are words: each distinct word of the benchmark has
 other word is one that no pattern has. A window of WINDOW words of an item (or a shorter item as a whole) is a
 pattern. Each text is scanned once; a match ends at a word, whose place in the original text is known.
 
-The automaton goes to the executors as the list of items, which are checked to be few: at most MOST_WORDS words
-for one automaton. A larger benchmark is worked through in blocks of items, each block a pass over the table
-that the one before it wrote. Documents are never shuffled.
+The items go to the executors as a broadcast of checked size: at most MOST_WORDS words, which one automaton holds in
+the memory that a worker has. Each worker builds it once and keeps it for its later tasks. A benchmark beyond that is
+worked through in blocks, each a pass over the table that the one before it wrote. Documents are never shuffled.
+
+`report` tells what the items cover; `clean` takes out documents, by a rule of its own (see there).
 
 Cases: a null or empty text has no words and is clean; a benchmark item without words, or a null one, gives no
 window; items without an id still hit words, but are not counted as items; equal items and repeated rows count
-for each id once; an empty benchmark leaves everything clean; other columns are not looked at.
+for each id once; an item longer than a block is cut into pieces that share no less than a window; an empty benchmark
+leaves everything clean; other columns, of any name and type, are passed through.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from cueloom.llm.common import stored
+from cueloom.llm.common import named, stored
 
 WINDOW = 13
 MOST_WORDS = 200_000
@@ -49,16 +54,20 @@ class Automaton:
         if self.any:
             self.machine.make_automaton()
 
-    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
-        """The number of words, the runs of words that matches cover (first, last + 1), and the items that match."""
+        self.window = window
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str], bool]:
+        """The number of words, the runs of words that matches cover (first, last + 1), the items that match, and whether one matches by a whole window."""
         tokens = text.translate(NORMAL).split()
         runs: list[tuple[int, int]] = []
         names: set[str] = set()
+        longest = 0
         if self.any:
             for end, (n, found) in self.machine.iter("".join(map(self.codes.get, tokens, repeat("\0")))):
                 runs.append((end + 1 - n, end + 1))
                 names |= found
-        return len(tokens), _merged(runs), names
+                longest = max(longest, n)
+        return len(tokens), _merged(runs), names, longest == self.window
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -83,77 +92,96 @@ def offsets(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(points[begins[lo]]), int(points[ends[hi - 1]])) for lo, hi in runs]
 
 
-def _blocks(benchmark: DataFrame, most_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """Lists of items of at most most_words words each, unless one item alone has more."""
+def _blocks(benchmark: DataFrame, most_words: int, window: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """Lists of items, or of overlapping pieces of long ones, of at most most_words words each."""
     block, n = [], 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("binary").alias("text")).where("text is not null").toLocalIterator():
-        k = len(r["text"]) // 2 + 1  # words at most
-        if block and n + k > most_words:
-            yield block
-            block, n = [], 0
-        block.append((r["id"], bytes(r["text"])))
-        n += k
+        tokens = bytes(r["text"]).translate(NORMAL).split()
+        step = max(1, most_words - window + 1)
+        for at in range(0, max(1, len(tokens) - window + 1), step):
+            piece = tokens[at : at + step + window - 1]
+            if block and n + len(piece) > most_words:
+                yield block
+                block, n = [], 0
+            block.append((r["id"], b" ".join(piece)))
+            n += len(piece)
     if block:
         yield block
 
 
+def _of(*names: str) -> ArrayType:
+    return ArrayType(StructType([StructField(n, LongType()) for n in names]))
+
+
+FOUND = StructType([StructField("n_words", LongType()), StructField("runs", _of("first", "last")), StructField("spans", _of("start", "end")), StructField("items", ArrayType(StringType())), StructField("whole_window", BooleanType())])
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
-    """For each row of docs: row (a struct of its columns, or of those in keep), n_words, runs (of words, from 0), spans (of code points) and items, the sorted ids of the items with matches."""
-    blocks = _blocks(benchmark, most_words)
+    """For each row of docs: row (a struct of its columns, or of those in keep), n_words, runs (of words, from 0), spans (of code points), items, the sorted ids of the items with matches,
+    and whole_window, whether any match is one of window words (not of a shorter item)."""
+    blocks = _blocks(benchmark, most_words, window)
     block, following = next(blocks, []), next(blocks, None)
-    kept = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
-    out = docs.select(kept.alias("row"), F.col("text").cast("binary").alias("text"), F.array().cast(f"array<{RUN}>").alias("runs"), F.array().cast("array<string>").alias("items"))
+    kept = F.struct(*[named(c) for c in (docs.columns if keep is None else keep)])
+    none = [F.array().cast(FOUND[c].dataType).alias(c) for c in ("runs", "items")]
+    out = docs.select(kept.alias("row"), F.col("text").cast("binary").alias("text"), *none, F.lit(False).alias("whole_window"))
     while True:
         out = _pass(out, block, window, last=following is None)
         if following is None:
             return out
-        out, block, following = stored(out, "decontaminate").select("row", "text", "runs", "items"), following, next(blocks, None)
+        out, block, following = stored(out, "decontaminate").select("row", "text", "runs", "items", "whole_window"), following, next(blocks, None)
 
 
-RUN = "struct<first:bigint,last:bigint>"
+#: The automaton that this worker has built last, under the key of its list of items.
+_BUILT: dict[str, Automaton] = {}
 
 
 def _pass(df: DataFrame, items: list[tuple[str | None, bytes]], window: int, last: bool) -> DataFrame:
     """One automaton over every text; text stays for a next pass unless this is the last one."""
     kept = ["row"] if last else ["row", "text"]
-    found_type = f"n_words bigint, runs array<{RUN}>, spans array<struct<start:bigint,end:bigint>>, items array<string>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema), found_type])
+    schema = StructType([*df.select(*kept).schema.fields, *FOUND.fields])
+    shared, key = df.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+    types = [pa.int64(), *(pa.list_(pa.struct([(n, pa.int64()) for n in x])) for x in (("first", "last"), ("start", "end"))), pa.list_(pa.string()), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Automaton(items, window)
-        long = pa.int64()
-        of = lambda a, b: pa.list_(pa.struct([(a, long), (b, long)]))
+        if key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[key] = Automaton(shared.value, window)
+        machine = _BUILT[key]
         for batch in batches:
-            counts, runs, spans, names = [], [], [], []
-            before = zip(batch.column("runs").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            for value, (old, known) in zip(batch.column("text"), before, strict=True):
+            found: list[tuple] = []
+            before = zip(*(batch.column(c).to_pylist() for c in ("runs", "items", "whole_window")), strict=True)
+            for value, (old, known, whole) in zip(batch.column("text"), before, strict=True):
                 text = value.as_py() or b""
-                n, found, who = machine.scan(text)
-                found = _merged([*found, *((r["first"], r["last"]) for r in old)]) if old else found
-                counts.append(n)
-                runs.append([{"first": a, "last": b} for a, b in found])
-                spans.append([{"start": a, "end": b} for a, b in offsets(text, found)])
-                names.append(sorted({*known, *who}))
-            columns = [batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(counts, long), pa.array(runs, of("first", "last")), pa.array(spans, of("start", "end")), pa.array(names, pa.list_(pa.string()))],
-                [*kept, "n_words", "runs", "spans", "items"],
-            )
+                n, runs, who, now = machine.scan(text)
+                runs = _merged([*runs, *((r["first"], r["last"]) for r in old)]) if old else runs
+                spans = [{"start": a, "end": b} for a, b in offsets(text, runs)]
+                found.append((n, [{"first": a, "last": b} for a, b in runs], spans, sorted({*known, *who}), whole or now))
+            columns = zip(*found, strict=True) if found else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, map(list, columns), types)], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def _hit() -> Column:
+    """How many words the matches cover."""
+    return F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"])
+
+
+def _contaminated() -> Column:
+    return (_hit() > 0) & (20 * _hit() >= F.col("n_words"))
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, for each row of docs."""
     found = scan(docs, benchmark, keep=["doc_id"])
-    hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"])
     return found.select(
-        F.col("row.doc_id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
+        F.col("row.doc_id").alias("doc_id"), "n_words", _hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), _contaminated().alias("contaminated"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, as they are, that are not contaminated."""
-    hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"])
-    return scan(docs, benchmark).where(~((hit > 0) & (20 * hit >= F.col("n_words")))).select("row.*")
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, as they are, that hold no window of `window` words of an item, whatever their length.
+
+    Items shorter than that can stand in a text by chance; such a hit takes a document out only if hits cover a twentieth of its words."""
+    return scan(docs, benchmark, window=window).where(~F.col("whole_window") & ~_contaminated()).select("row.*")

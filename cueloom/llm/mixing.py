@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import SPACE, stored, words
+from cueloom.llm.common import SPACE, named, row_key, stored, words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -172,10 +172,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     nth = row.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("start"))).select(*[F.col(k).alias(f"k_{k}") for k in key], "nth", "size", "passes")
     text = F.coalesce("text", F.lit(""))
     whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("whole"), F.col("source").cast("string").alias("source"), "doc_id",
-        F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string"), text).alias("h"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("tie"),
+        F.struct(*[named(c) for c in names]).alias("whole"), F.col("source").cast("string").alias("source"), "doc_id",
+        F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string"), text).alias("h"), *row_key(docs),
     )
-    whole = whole.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("tie")))
+    whole = whole.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("k1", "k2")))
     same = whole["nth"] == nth["nth"]
     for k in key:
         same &= whole[k].eqNullSafe(nth[f"k_{k}"])
@@ -183,4 +183,4 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     part = F.col("p.end") - F.col("p.begin") < F.col("size")
     cut = F.array_join(F.slice(words(F.col("whole.text"), SPACE), (F.col("p.begin") + 1).cast("int"), (F.col("p.end") - F.col("p.begin")).cast("int")), " ")
     changed = {"text": F.when(part, cut).otherwise(F.col("whole.text")), "n_chars": F.when(part, F.length(cut)).otherwise(F.col("whole.n_chars")) if "n_chars" in names else None}
-    return taken.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col(f"whole.`{c}`") for c in names])
+    return taken.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col("whole").getField(c).alias(c) for c in names])

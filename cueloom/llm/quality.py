@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import SPACES, bind, words
+from cueloom.llm.common import SPACES, bind, named, words
 
 LABELLED_ROWS = 4_000
 WINDOW = 8
@@ -205,7 +205,7 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of docs, as they are, that neither the base rules nor the learned ones reject."""
-    everything = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    everything = F.struct(*[named(c) for c in docs.columns])
     names = ("doc_id", "text")
     whole = docs.select(everything.alias("whole"), *[F.col(n) for n in names])
     carried = whole.select(F.struct("whole", "doc_id").alias("doc_id"), "text")

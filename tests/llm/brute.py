@@ -55,22 +55,58 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def near_duplicates(data):
+def components(n, near):
+    """The component of each of n places, as a set; near tells whether two are linked."""
+    links = [[j for j in range(n) if near(i, j)] for i in range(n)]
+    of = [None] * n
+    for i in range(n):
+        if of[i] is None:
+            seen, todo = {i}, [i]
+            while todo:
+                new = set(links[todo.pop()]) - seen
+                seen |= new
+                todo.extend(new)
+            for j in seen:
+                of[j] = seen
+    return of
+
+
+def by_fingerprint(data):
     fps = [fingerprint(t) for _, t in data]
-    near = [[j for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 4] for i in range(len(fps))]
+    return components(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+
+
+def shingle_set(text):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def by_similarity(data):
+    """Components of links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    s = [shingle_set(t) for _, t in data]
+    return components(len(s), lambda i, j: 10 * len(s[i] & s[j]) >= 8 * len(s[i] | s[j]))
+
+
+def near_duplicates(data):
     out = []
-    for i in range(len(fps)):
-        seen, todo = {i}, [i]
-        while todo:
-            for j in near[todo.pop()]:
-                if j not in seen:
-                    seen.add(j)
-                    todo.append(j)
+    for (i, t), seen in zip(data, by_fingerprint(data), strict=True):
         ids = [data[j][0] for j in seen if data[j][0] is not None]
-        out.append((data[i][0], f"{fps[i]:016x}", min(ids) if ids else None))
+        out.append((i, f"{fingerprint(t):016x}", min(ids) if ids else None))
     return out
 
 
+def one_stays(kept, data, of):
+    """Whether kept, rows as pairs of id and text, has one row of each component, which has the least id in it (nulls last)."""
+    left = list({id(x): x for x in of}.values())
+    last = (True, 0)
+    rank = lambda i: (False, i) if i is not None else last
+    for i, t in kept:
+        fits = [c for c in left if any(data[j] == (i, t) for j in c) and rank(i) == min(rank(data[j][0]) for j in c)]
+        assert fits, (i, t)
+        left.remove(fits[0])
+    assert not left, left
+
+
 def tokens(data, tokenizer):
     """data in the order of the files."""
     start, out = 0, []
@@ -138,6 +174,13 @@ def contamination(data, items):
     return out
 
 
+def dirty(text, items):
+    """Whether the pipeline takes a document out: it holds 13 words of an item, or items cover a twentieth of it."""
+    w = TERM.findall((text or "").translate(LOWER))
+    windows = {tuple(v[k : k + 13]) for v in (TERM.findall((t or "").translate(LOWER)) for _, t in items) for k in range(len(v) - 12)}
+    return any(tuple(w[k : k + 13]) in windows for k in range(len(w) - 12)) or contamination([(0, text)], items)[0][5]
+
+
 def mix_targets(sizes):
     """sizes: source -> words. Shares stopped at twice the size, the excess dealt out again until none is above."""
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])

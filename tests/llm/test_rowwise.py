@@ -99,3 +99,26 @@ def test_decontamination_spans_and_edges(spark):
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
     assert decontaminate.clean(docs, bench.limit(0)).count() == 2
     assert decontaminate.clean(docs.limit(0), bench).count() == 0
+
+
+def test_whole_windows_take_documents_out(spark):
+    """However long a document is, 13 words of an item in a row take it out; 12 words, or a short item, don't."""
+    item = " ".join(f"{w}x" for w in brute.PROSE)
+    filler = " ".join(f"f{i}" for i in range(3000))
+    texts = [f"{filler} {item} {filler}", f"{filler} {' '.join(item.split()[3:16])} {filler}", f"{filler} {' '.join(item.split()[3:15])} {filler}", f"{filler} short item {filler}", "a short item", filler, "short item " * 7 + filler]
+    bench = spark.createDataFrame([(1, item), (2, "short item"), (3, "f1 f2")], "item_id long, text string")
+    docs = brute.table(spark, list(enumerate(texts)))
+    for most_words in (200_000, 15):
+        found = decontaminate.scan(docs, bench, most_words=most_words).collect()
+        assert {r.row.doc_id for r in found if r.whole_window} == {0, 1}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [2, 3, 5, 6]
+    items = [(1, item), (2, "short item"), (3, "f1 f2")]
+    assert [i for i, t in enumerate(texts) if not brute.dirty(t, items)] == [2, 3, 5, 6]
+
+
+def test_items_longer_than_a_block(spark):
+    long = " ".join(f"i{k}" for k in range(200))
+    docs = brute.table(spark, [(k, " ".join(long.split()[k : k + 13])) for k in range(188)] + [(900, "i1 i3 " * 20)])
+    bench = spark.createDataFrame([(7, long)], "item_id long, text string")
+    found = {r.row.doc_id: (r.items, [tuple(x) for x in r.runs]) for r in decontaminate.scan(docs, bench, most_words=50).collect()}
+    assert found == {k: (["7"], [(0, 13)]) for k in range(188)} | {900: ([], [])}
