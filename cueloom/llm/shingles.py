@@ -1,33 +1,35 @@
 """Near copies of documents: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash: BANDS keys a text, each of ROWS minima over its shingles, so two texts at similarity s
-share a key with probability 1 - (1 - s^ROWS)^BANDS: 0.999993 at 0.8, more above. Every link is then verified by
-the shingles themselves (64-bit hashes of them), so no pair below 0.8 is linked. Equal sets become one node before that.
+What `simhash.one_of_each` links by when it is given a similarity. Candidates come from MinHash: BANDS keys a text, each
+of ROWS minima over its shingles, so two texts at similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS:
+0.999993 at 0.8, more above. Of the texts of a bucket, SimHash fingerprints of the sets are compared in tiles: pairs that
+differ in more than WIDE of 64 bits are ruled out (at 0.8 some 10 differ, at random 32). Every link is then verified by
+the shingles themselves (64-bit hashes of them), so no pair below the similarity is linked. Equal sets become one node
+before that.
 
 The texts of a bucket are first compared with one of them, its centre; then buckets whose texts are not all in
 one component are compared whole, in groups of at most two parts of PART texts. `components` joins the links.
-One document of a component stays, so one may go that is below 0.8 to the one that stays, by links over others.
+One document of a component stays, so one may go that is below the similarity to the one that stays, by links over others.
 
-Cases: texts without words are equal; a text of fewer than five words is one shingle; rows without an id stay
-if no row with an id is in their component; very long texts are hashed in pieces; other columns are passed through.
+Cases: texts without words are equal; a text of fewer than five words is one shingle; very long texts are hashed in
+pieces; a bucket of any size is dealt out; no links give no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import stored
+from cueloom.llm.common import stored, with_key_of
 from cueloom.llm.components import components
-from cueloom.llm.simhash import TO_LOWER
+from cueloom.llm.hamming import TO_LOWER, bit_counts, majority, tiles
 
 SHINGLE, BANDS, ROWS, SEED = 5, 30, 5, 42
-#: Linked from this similarity on, as a fraction.
-NEAR = (4, 5)
+WIDE, TILE = 26, 512
 PART, PIECE = 512, 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _XOR, _TIMES = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
@@ -68,44 +70,62 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh64_intdigest as h
+def prints(docs: DataFrame, keys: Sequence[Column] = ()) -> DataFrame:
+    """doc_id, the long columns of keys, h (a hash of the text), node (a hash of its shingles) and bands (its keys), for each row of docs."""
+    asked = docs.select("doc_id", "text", *keys, F.xxhash64("text").alias("h"))
+    others = [c for c in asked.columns if c != "text"]
 
-    for batch in batches:
-        nodes, keys = [], []
-        for t in batch.column("text").cast(pa.binary()):
-            s = shingles(t.as_py())
-            nodes.append(h(s.tobytes(), SEED))
-            keys.append(band_keys(s))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "node", "keys"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as hash_of
+
+        for batch in batches:
+            nodes, bands = [], []
+            for t in batch.column("text").cast(pa.binary()):
+                s = shingles(t.as_py())
+                nodes.append(hash_of(s.tobytes(), SEED))
+                bands.append(band_keys(s))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], [*others, "node", "bands"])
+
+    return asked.mapInArrow(run, ", ".join([*(f"{c} long" for c in [*others, "node"]), "bands array<long>"]))
 
 
-def _near(sets: list[np.ndarray], label: np.ndarray) -> Iterator[tuple[int, int]]:
+def _sketch(s: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(s), 32 * PIECE):
+        counts += bit_counts(s[at : at + 32 * PIECE])
+    return majority(counts, len(s))
+
+
+def _near(sets: list[np.ndarray], label: np.ndarray, similarity: tuple[int, int]) -> Iterator[tuple[int, int]]:
     """Links that join texts of different labels; with them, label tells the components."""
+    sketches = np.array([_sketch(s) for s in sets], np.uint64)
+    order = np.argsort(np.bitwise_count(sketches), kind="stable")
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = np.array([len(s) for s in sets])
-    begins = np.cumsum(sizes) - sizes
-    mark = np.zeros(int(ids.max()) + 1, np.int64)
-    for i in range(len(sets) - 1):
-        if (label[i + 1 :] == label[i]).all():
-            continue
-        mine = ids[begins[i] : begins[i] + sizes[i]]
-        mark[mine] = 1
-        common = np.add.reduceat(mark[ids[begins[i + 1] :]], begins[i + 1 :] - begins[i + 1])
-        mark[mine] = 0
-        # common / (both - common) >= a / b, in whole numbers
-        for j in i + 1 + np.flatnonzero(sum(NEAR) * common >= NEAR[0] * (sizes[i] + sizes[i + 1 :])):
-            if label[i] != label[j]:
-                label[label == label[j]] = label[i]
-                yield i, int(j)
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids = np.split(ids, np.cumsum(sizes)[:-1])
+    mark = np.zeros(max(int(x.max()) for x in ids if len(x)) + 1, np.int64)
+    part, whole = similarity
+    for a, b, near in tiles(sketches[order], WIDE, TILE):
+        for i, row in zip(order[a : a + TILE], near, strict=True):
+            others = order[b : b + TILE][row]
+            others = others[label[others] != label[i]]
+            if not len(others):
+                continue
+            mark[ids[i]] = 1
+            for j in others:
+                # common / (both - common) >= part / whole, in whole numbers
+                if label[i] != label[j] and (part + whole) * int(mark[ids[j]].sum()) >= part * int(sizes[i] + sizes[j]):
+                    label[label == label[j]] = label[i]
+                    yield int(i), int(j)
+            mark[ids[i]] = 0
+
+
+def _links(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Links within each run of equal g, p and q; the rows come sorted by these."""
     key, nodes, roots, sets = None, [], [], []
 
     def linked() -> pa.RecordBatch:
-        pairs = list(_near(sets, np.unique(roots, return_inverse=True)[1])) if len(sets) > 1 else []
+        pairs = list(_near(sets, np.unique(roots, return_inverse=True)[1], similarity)) if len(sets) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
@@ -119,45 +139,34 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield linked()
 
 
-def _compared(groups: DataFrame, texts: DataFrame) -> DataFrame:
+def _compared(groups: DataFrame, texts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """groups: g, p, q, node and root."""
     rows = groups.join(texts, "node").select("g", "p", "q", "node", "root", "text")
-    return rows.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q").mapInArrow(_links, "a long, b long")
+    return rows.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q").mapInArrow(lambda batches: _links(batches, similarity), "a long, b long")
 
 
-def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
+def links(docs: DataFrame, prints: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """a and b: verified links, enough to tell every component of the nodes of prints."""
-    nodes = stored(prints.groupBy("node").agg(F.min("h").alias("h"), F.first("keys").alias("keys")), "nodes")
-    rows = nodes.select("node", "h", F.posexplode("keys").alias("k", "key"))
-    shared = rows.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
-    members = stored(rows.join(shared, ["k", "key"]).select(F.xxhash64("k", "key").alias("g"), "n", "centre", "node", "h"), "members")
+    nodes = stored(prints.groupBy("node").agg(F.min("h").alias("h"), F.first("bands").alias("bands")), "nodes")
+    rows = nodes.select("node", "h", F.posexplode("bands").alias("k", "key"))
+    shared = stored(rows.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1"), "shared-keys")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    joined = with_key_of(rows, shared.withColumn("all", F.col("n")), ["k", "key"], "n", total)
+    members = stored(joined.select(F.xxhash64("k", "key").alias("g"), F.col("all").alias("n"), "centre", "node", "h"), "members")
     needed = members.select("node", "h").distinct()
     texts = stored(docs.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).join(needed, "h").select("node", "text"), "texts")
 
-    star = members.where("node <> centre").select(F.col("centre").alias("g"), "node").distinct()
-    parts = star.groupBy("g").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    star = star.join(parts, "g").select("g", F.pmod(F.xxhash64("node"), "parts").alias("p"), F.lit(0).alias("q"), "node")
-    star = star.unionByName(star.select("g", "p", "q", F.col("g").alias("node")).distinct()).withColumn("root", F.col("node"))
-    first = stored(_compared(star, texts), "star-links")
+    star = members.where("node <> centre").groupBy("centre", "node").agg(F.max("n").alias("n"))
+    star = star.select(F.xxhash64("centre", "n").alias("g"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART)).alias("p"), F.lit(0).alias("q"), "centre", "node")
+    star = star.drop("centre").unionByName(star.drop("node").withColumnRenamed("centre", "node").distinct()).withColumn("root", F.col("node"))
+    first = stored(_compared(star, texts, similarity), "star-links")
 
     roots = components(first).withColumnRenamed("node", "of")
-    members = members.join(roots, F.col("node") == F.col("of"), "left").select("g", "n", "node", F.coalesce("root", "node").alias("root"))
+    members = stored(members.join(roots, F.col("node") == F.col("of"), "left").select("g", "n", "node", F.coalesce("root", "node").alias("root")), "rooted-members")
     # Buckets of the same texts are compared once.
     digest = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("digest")
     open_ = members.groupBy("g").agg(F.min("root").alias("r"), F.max("root").alias("s"), digest, F.count("*").alias("n")).where("r <> s").groupBy("digest", "n").agg(F.min("g").alias("g"))
-    mine = members.join(open_.select("g"), "g").withColumn("parts", F.ceil(F.col("n") / PART)).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    mine = with_key_of(members, stored(open_.select("g", F.col("n").alias("m")), "open-buckets"), "g", "m", total).withColumn("parts", F.ceil(F.col("n") / PART)).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    whole = _compared(mine.select("g", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "root"), texts)
+    whole = _compared(mine.select("g", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "root"), texts, similarity)
     return first.unionByName(stored(whole, "bucket-links"))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, as they are, that have the smallest id of their component; of rows with that id one, by text."""
-    prints = stored(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_prints, "doc_id long, h long, node long, keys array<long>"), "shingle-prints")
-    roots = components(links(docs, prints)).withColumnRenamed("node", "of")
-    rooted = prints.join(roots, F.col("node") == F.col("of"), "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("h").alias("h"))).alias("best"))
-    best = best.select(F.col("best.id").alias("best_id"), F.col("best.h").alias("best_h"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    same = F.col("id").eqNullSafe(F.col("best_id")) & (F.col("h") == F.col("best_h"))
-    return rows.join(best, same, "left_semi").groupBy("id", "h").agg(F.first("whole").alias("whole")).select("whole.*")

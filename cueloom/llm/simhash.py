@@ -10,28 +10,34 @@ more and smaller buckets; their number follows from the number of fingerprints,
 A bucket of more than HOT fingerprints is dealt out as pairs of parts, so no task holds it whole. A bucket gives
 a spanning forest of its links, not all pairs, and `components` joins those of all buckets.
 
+`one_of_each` keeps a row of each component. Without `similarity` its links are those above. A radius that reaches a
+given similarity of shingle sets is too wide for blocks of bits to find (at 0.8 some 10 of 64 bits differ), so with
+one `shingles` finds the candidates, the same tiles rule most of them out, and the rest are verified by their shingles.
+
 Cases: a null or empty text, or one without words, has fingerprint 0 and links like any other; rows with equal ids
 each get their row; a null id names a component only if it has no other; an empty table gives no rows; very long
-texts are hashed in pieces of bounded size; other columns of docs are not looked at.
+texts are hashed in pieces of bounded size; other columns of docs, of any name and type, are passed through by
+`one_of_each`, which tells rows apart by all of them and keeps one of rows that are equal in all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import stored
+from cueloom.llm import shingles
+from cueloom.llm.common import named, row_key, stored, with_key_of
 from cueloom.llm.components import components
+from cueloom.llm.hamming import TO_LOWER, bit_counts, majority, tiles
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 TILE, PART, HOT = 512, 16_384, 32_768
 PIECE = 65_536
-TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def fingerprint(text: bytes | None, n: int = SHINGLE, seed: int = SEED) -> int:
@@ -51,40 +57,38 @@ def fingerprint(text: bytes | None, n: int = SHINGLE, seed: int = SEED) -> int:
     for at in range(0, len(begins), PIECE):
         pairs = zip(begins[at : at + PIECE].tolist(), ends[at : at + PIECE].tolist(), strict=True)
         hashes = np.array([h(joined[a:b], seed) for a, b in pairs], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * counts > len(begins), bitorder="little").view(np.uint64)[0])
+        counts += bit_counts(hashes)
+    return majority(counts, len(begins))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and h (a hash of the text), for each row of docs."""
+def fingerprints(docs: DataFrame, keys: Sequence[Column] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and the long columns of keys, for each row of docs."""
+    asked = docs.select("doc_id", "text", *keys)
+    others = [c for c in asked.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), batch.column("h")], ["doc_id", "fp", "h"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(fps)], [*others, "fp"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, fp long, h long")
+    return asked.mapInArrow(run, ", ".join(f"{c} long" for c in [*others, "fp"]))
 
 
 def _roots(fps: np.ndarray, radius: int, split: int | None = None) -> np.ndarray:
     """For each fingerprint the place of the first one that it is linked with, itself included. split: only links from before to after it."""
     order = np.argsort(np.bitwise_count(fps), kind="stable")
-    x, label, pops = fps[order], np.arange(len(fps)), np.bitwise_count(fps[order]).astype(int)
+    label = np.arange(len(fps))
     left = order < split if split is not None else None
-    for a in range(0, len(x), TILE):
-        for b in range(a, len(x), TILE):
-            if pops[b] - pops[min(a + TILE, len(x)) - 1] > radius:
-                break  # tiles are in order of population count: no later one can be nearer
-            near = np.bitwise_count(x[a : a + TILE, None] ^ x[None, b : b + TILE]) <= radius
-            if left is not None:
-                near &= left[a : a + TILE, None] != left[None, b : b + TILE]
-            for i in np.flatnonzero(near.sum(axis=1) > (1 if a == b and left is None else 0)):
-                mine, other = label[a + i], label[b + np.flatnonzero(near[i])]
-                for o in np.unique(other[other != mine]):
-                    low, high = min(mine, o), max(mine, o)
-                    label[label == high] = low
-                    mine = low
+    for a, b, near in tiles(fps[order], radius, TILE):
+        if left is not None:
+            near &= left[a : a + TILE, None] != left[None, b : b + TILE]
+        for i in np.flatnonzero(near.sum(axis=1) > (1 if a == b and left is None else 0)):
+            mine, other = label[a + i], label[b + np.flatnonzero(near[i])]
+            for o in np.unique(other[other != mine]):
+                low, high = min(mine, o), max(mine, o)
+                label[label == high] = low
+                mine = low
     out = np.empty(len(fps), np.int64)
     out[order] = order[label]
     return out
@@ -152,25 +156,37 @@ def linked(distinct: DataFrame, n: int) -> DataFrame:
 
 
 def grouped(prints: DataFrame) -> DataFrame:
-    """fp, and component, the smallest id of any document that its fingerprint can reach, for each fingerprint of prints (doc_id, fp)."""
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprints")
-    roots = components(linked(distinct.select("fp"), distinct.count()))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    return rooted.join(lows, "root").select("fp", "component")
+    """fp, root (of its component), component, the smallest id of any document in it, and n, the rows of prints (doc_id, fp) that have fp."""
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "fingerprints")
+    n = distinct.count()
+    roots = components(linked(distinct.select("fp"), n))
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("n_root"))
+    return with_key_of(rooted, lows, "root", "n_root", n).select("fp", "root", "component", "n")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest id in reach, for each row of docs."""
-    prints = stored(fingerprints(docs).select("doc_id", "fp"), "prints")
-    return prints.join(grouped(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    prints = stored(fingerprints(docs), "prints")
+    told = with_key_of(prints, stored(grouped(prints), "print-groups"), "fp", "n", prints.count())
+    return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, as they are, that have the smallest id of their component; of rows with that id one, by text."""
-    prints = stored(fingerprints(docs), "prints")
-    best = prints.join(grouped(prints), "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("h").alias("h"))).alias("best"))
-    best = best.select(F.col("best.id").alias("best_id"), F.col("best.h").alias("best_h"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    same = F.col("id").eqNullSafe(F.col("best_id")) & (F.col("h") == F.col("best_h"))
-    return rows.join(best, same, "left_semi").groupBy("id", "h").agg(F.first("whole").alias("whole")).select("whole.*")
+def one_of_each(docs: DataFrame, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """One row of docs, as it is, of each component: that of the smallest id (nulls last), then of the smallest hash of all columns.
+
+    Links are fingerprints within RADIUS, or, with similarity (a fraction), sets of five-word shingles that are so alike, verified."""
+    if similarity is None:
+        prints = stored(fingerprints(docs, row_key(docs)).withColumnRenamed("fp", "node"), "prints")
+        nodes = stored(prints.select("node").distinct(), "fingerprints")
+        links = linked(nodes.select(F.col("node").alias("fp")), nodes.count())
+    else:
+        prints = stored(shingles.prints(docs, row_key(docs)), "shingle-prints")
+        links = shingles.links(docs, prints, similarity)
+    # The best row of each node first, so that copies meet in partial aggregates and never in a join.
+    row = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), "k1", "k2")
+    best = prints.select("node", row.alias("row")).groupBy("node").agg(F.min("row").alias("row"))
+    roots = components(links).withColumnRenamed("node", "of")
+    best = best.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("row").alias("row"))
+    rows = docs.select(*row_key(docs), F.struct(*[named(c) for c in docs.columns]).alias("whole")).groupBy("k1", "k2").agg(F.first("whole").alias("whole"))
+    return rows.join(best.select("row.k1", "row.k2"), ["k1", "k2"], "left_semi").select("whole.*")

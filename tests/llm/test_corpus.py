@@ -18,12 +18,21 @@ def test_near_duplicates(spark, sf):
     assert simhash.near_duplicates(brute.table(spark).limit(0)).count() == 0
 
 
-def test_one_of_each(spark):
-    docs = brute.table(spark)
-    kept = simhash.one_of_each(docs)
-    want = {c for _, _, c in brute.near_duplicates(brute.rows())}
+@pytest.mark.parametrize("similarity", [None, (4, 5)])
+def test_one_of_each(spark, similarity):
+    """One row for each component of texts, not for each id: unlike texts without id, or with one id, all stay."""
+    words = [[f"w{i}x{k}" for k in range(60)] for i in range(12)]
+    unlike = [(i, " ".join(w)) for i, w in zip([None, None, None, 5, 5, 7, None, 5, None, None, 900, 901], words, strict=True)]
+    data = brute.rows() + unlike + [(None, unlike[0][1]), (3, unlike[0][1]), (None, unlike[1][1]), (6, unlike[3][1]), (902, unlike[10][1] + " more")]
+    docs = brute.table(spark, data)
+    kept = simhash.one_of_each(docs, similarity)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, want))
+    rows = kept.collect()
+    brute.one_stays([(r.doc_id, r.text) for r in rows], data, brute.by_fingerprint(data) if similarity is None else brute.by_similarity(data))
+    whole = {tuple(r) for r in docs.collect()}
+    assert all(tuple(r) in whole for r in rows)
+    assert sorted(map(str, rows)) == sorted(map(str, simhash.one_of_each(docs.repartition(7), similarity).collect()))
+    assert simhash.one_of_each(docs.limit(0), similarity).count() == 0
 
 
 @pytest.mark.parametrize("n", [100, 10**7, 10**9, 10**12])

@@ -27,10 +27,9 @@ def test_stages(spark, sf, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert 0 < len(after[3]) and 0 < len(after[2]) <= len(after[1]) < len(after[0]) < len(data)
     same(after[0], [d for d in data if not brute.quality(d[1])[5] and d[0] not in learned])
-    first = {c for _, _, c in brute.near_duplicates([d[:2] for d in after[0]])}
+    first = {min(after[0][j][0] for j in c) for c in brute.by_similarity([d[:2] for d in after[0]])}
     same(after[1], [d for d in after[0] if d[0] in first])
-    dirty = {c[0] for c in brute.contamination([d[:2] for d in after[1]], items) if c[5]}
-    same(after[2], [d for d in after[1] if d[0] not in dirty])
+    same(after[2], [d for d in after[1] if not brute.dirty(d[1], items)])
     takes = {r.doc_id: r.taken for r in mixing.taken_words(spark.read.parquet(f"{tmp_path}/2")).collect()}
     got, text = {}, {d[0]: d for d in after[2]}
     for d in after[3]:

