@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueloom.llm import decontaminate, mixing, quality, shingles, tokens
+from cueloom.llm import decontaminate, mixing, quality, simhash, tokens
 from cueloom.llm.common import stored, table
 
 
@@ -20,11 +20,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity of 0.8 or more), the one with the smallest id."""
-    return shingles.one_of_each(docs)
+    return simhash.one_of_each(docs, similarity=(4, 5))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark items cover less than a twentieth."""
+    """Documents without a window of 13 words of any benchmark item, and of which shorter items cover less than a twentieth."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
