@@ -14,7 +14,8 @@ def _class(points: list[str]) -> str:
 
 #: Inside of a character class, for Java and RE2 alike: two-column characters, and what counts as white space.
 WIDE = _class(RANGES.split())
-SPACE = _class("9-D 1C-20 85 A0 1680 2000-200A 2028 2029 202F 205F 3000".split())
+_SPACES = "9-D 1C-20 85 A0 1680 2000-200A 2028 2029 202F 205F 3000".split()
+SPACE = _class(_SPACES)
 DROPPED_AT_END = "。，、；：.,;:"
 PRIMARY_BREAKS, SECONDARY_BREAKS = "。！？….!?", "，、；：,;:"
 #: What a rewrite may add or drop without changing the content.
@@ -25,27 +26,41 @@ def _all(s: Column | str, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(s, F.lit(pattern), F.lit(by))
 
 
+def _ascii(s: Column) -> Column:
+    return F.octet_length(s) == F.length(s)
+
+
+#: Wide characters, with one look at most others: all wide ones come after this range begins.
+_WIDE = rf"[\x{{1100}}-\x{{10FFFF}}&&[{WIDE}]]"
+_WIDE_SOLID = rf"[\x{{1100}}-\x{{10FFFF}}&&[{WIDE}]&&[^{SPACE}]]"
+
+
 def display_width(s: Column) -> Column:
     """Columns that s takes: two for a wide character, one for any other."""
-    return F.length(s) + F.length(_all(s, f"[^{WIDE}]"))
+    return F.length(s) + F.when(_ascii(s), 0).otherwise(F.regexp_count(s, F.lit(_WIDE)))
 
 
 def is_wide(c: Column) -> Column:
     return F.rlike(c, F.lit(f"^[{WIDE}]$"))
 
 
+#: White space as characters, for trimming.
+SPACES = "".join(chr(c) for r in _SPACES for c in range(int(r.split("-")[0], 16), int(r.split("-")[-1], 16) + 1))
+
+
 def strip(s: Column) -> Column:
-    return _all(_all(s, f"^[{SPACE}]+"), f"[{SPACE}]+$")
+    return F.btrim(s, F.lit(SPACES))
 
 
 def strip_trailing_punctuation(s: Column) -> Column:
     """s without white space around it, and without stops and commas at its end; question and exclamation marks and ellipses stay."""
-    return _all(_all(s, f"^[{SPACE}]+"), f"[{SPACE}{DROPPED_AT_END}]+$")
+    return F.rtrim(F.ltrim(s, F.lit(SPACES)), F.lit(SPACES + DROPPED_AT_END))
 
 
 def normalize_whitespace(s: Column) -> Column:
     """Runs of white space go between wide characters and become one space elsewhere."""
-    return _all(_all(s, f"([{WIDE}&&[^{SPACE}]])[{SPACE}]+(?=[{WIDE}&&[^{SPACE}]])", "$1"), f"[{SPACE}]+", " ")
+    joined = F.when(_ascii(s), s).otherwise(_all(s, f"({_WIDE_SOLID})[{SPACE}]+(?={_WIDE_SOLID})", "$1"))
+    return _all(joined, rf"\x20[{SPACE}]+|[{SPACE}&&[^\x20]][{SPACE}]*", " ")
 
 
 def display_text(s: Column) -> Column:
@@ -84,11 +99,12 @@ def filter_path(path: Column) -> Column:
     return F.replace(F.replace(F.replace(path, F.lit("\\"), F.lit("/")), F.lit(":"), F.lit("\\:")), F.lit("'"), F.lit("\\'"))
 
 
-def burn_filter(path: Column, font: str = "Noto Sans", size: int = 24, margin: int = 20, box: int = 80, color: str = "black", opacity: float = 0.6) -> Column:
-    """A filter that draws a box along the bottom and the subtitles of a file over it."""
-    head = f"drawbox=x=0:y=ih-{box}:w=iw:h={box}:color={color}@{opacity}:t=fill,subtitles='"
-    tail = f"':force_style='FontName={font},FontSize={size},MarginV={margin},Alignment=2'"
-    return F.concat(F.lit(head), filter_path(path), F.lit(tail))
+def burn_filter(path: Column, font: str = "Noto Sans CJK TC", size: int = 15, margin: int = 1, bar: tuple[int, int] = (650, 38), bottom: int = 40) -> Column:
+    """A filter that draws a black bar (of a width and a height, so far above the bottom) and over it, in white, the subtitles of a file."""
+    # What the filters of the media program are called, and their options.
+    box = f"drawbox=x=(iw-{bar[0]})/2:y=ih-{bottom}:w={bar[0]}:h={bar[1]}:color=black@1:t=fill"
+    style = f"FontName={font},FontSize={size},PrimaryColour=&HFFFFFF&,BorderStyle=1,Outline=0,Shadow=0,Alignment=2,MarginV={margin}"
+    return F.concat(F.lit(f"{box},subtitles='"), filter_path(path), F.lit(f"':force_style='{style}'"))
 
 
 def slide_selector(s: Column) -> Column:

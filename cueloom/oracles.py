@@ -35,8 +35,22 @@ u2 AS (SELECT *, f + CAST(coalesce(sum(length(piece)) OVER (PARTITION BY {key},
 
 #: Each event is one character: those of a slide as one string, walked through by recursion with a cursor in the notes.
 HEARD = EVENTS + ", heard_by AS (SELECT deck_id, slide_num, any_value(notes) AS notes, string_agg(text, '' ORDER BY ev_idx) AS said, CAST(count(*) AS INT) AS n FROM matched JOIN slides USING (deck_id, slide_num) GROUP BY ALL)"
-_WALK = "SELECT deck_id, slide_num, 0 AS i, CAST(0 AS BIGINT) AS cur, CAST(NULL AS BIGINT) AS hit FROM heard_by UNION ALL SELECT deck_id, slide_num, i + 1, coalesce(p + 1, cur), p"
-_WALKED = "SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(i - 1 AS BIGINT) AS ev_idx, hit AS source_start, CAST(m.offset_ms AS BIGINT) AS offset_ms FROM walk JOIN matched m USING (deck_id, slide_num) WHERE m.ev_idx = i - 1 AND hit IS NOT NULL"
+
+
+def _then(places: str, nth: int) -> str:
+    """Where one is after the nth next character, from each of places; null if it doesn't come."""
+    c = f"substr(said, i + {1 + nth}, 1)"
+    return f"list_transform({places}, lambda x: CASE WHEN {c} = '' THEN x ELSE x + nullif(instr(substr(notes, CAST(x + 1 AS INT)), {c}), 0) END)"
+
+
+#: The places within 200 characters; for each how far one gets to by the next three events; the nearest of those at most 10 behind the best.
+WALK = f"""walk AS (SELECT deck_id, slide_num, 0 AS i, CAST(0 AS BIGINT) AS cur, CAST(NULL AS BIGINT) AS hit FROM heard_by
+  UNION ALL SELECT deck_id, slide_num, i + 1, coalesce(p + 1, cur), p FROM (SELECT *, CAST(coalesce(
+      near[CASE WHEN len(near) > 1 AND i + 1 < n THEN list_min(list_filter(range(1, len(near) + 1), lambda k: after[k] - near[k] <= 10 + list_min(list_transform(range(1, len(near) + 1), lambda j: after[j] - near[j])))) END],
+      near[1], nullif(instr(substr(notes, CAST(cur + 1 AS INT)), c), 0) + cur - 1, nullif(instr(lower(substr(notes, CAST(cur + 1 AS INT), 200)), lower(c)), 0) + cur - 1) AS BIGINT) AS p
+    FROM (SELECT *, {_then(_then(_then("list_transform(near, lambda x: x + 1)", 1), 2), 3)} AS after
+    FROM (SELECT *, list_filter(range(cur, least(cur + 200, length(notes))), lambda x: substr(notes, CAST(x + 1 AS INT), 1) = c) AS near
+    FROM (SELECT w.*, notes, said, n, substr(said, w.i + 1, 1) AS c FROM walk w JOIN heard_by h USING (deck_id, slide_num) WHERE w.i < n)))))"""
 
 
 SEGS = EVENTS + ", " + _units("slides", "deck_id, slide_num", "notes", PRIMARY_BREAKS) + ", segs AS (SELECT deck_id, slide_num, row_number() OVER (PARTITION BY deck_id, slide_num ORDER BY start) - 1 AS seg_idx, start, stop, piece FROM units)"
@@ -114,14 +128,14 @@ ORACLE_SQL: dict[str, str] = {
     "txt14_selector": "WITH s AS (SELECT DISTINCT (p_partkey % 40 + 1) AS a, (p_size % 10) AS d FROM part) SELECT a, d, CAST(unnest(CASE WHEN d = 0 THEN [a] ELSE list_sort(list_distinct(list_concat([a], range(a + 2, a + 2 + d)))) END) AS BIGINT) AS slide FROM s",
     "txt16_audio_name": f"WITH {SLIDES} SELECT DISTINCT CAST(slide_num AS BIGINT) AS slide_num, format('slide_{{:03d}}.mp3', slide_num) AS name FROM slides",
     "txt17_preview": f"SELECT doc_id, CASE WHEN length(s) > 120 THEN left(s, 120) || '...' ELSE s END AS preview FROM (SELECT doc_id, replace({_strip('text')}, chr(10), ' ') AS s FROM documents)",
-    "txt19_burn_filter": "SELECT page_id, 'drawbox=x=0:y=ih-80:w=iw:h=80:color=black@0.6:t=fill,subtitles=''' || replace(replace(replace(url, '\\', '/'), ':', '\\:'), '''', '\\''') || ''':force_style=''FontName=Noto Sans,FontSize=24,MarginV=20,Alignment=2''' AS filter FROM pages",
+    "txt19_burn_filter": "SELECT page_id, 'drawbox=x=(iw-650)/2:y=ih-40:w=650:h=38:color=black@1:t=fill,subtitles=''' || replace(replace(replace(url, '\\', '/'), ':', '\\:'), '''', '\\''') || ''':force_style=''FontName=Noto Sans CJK TC,FontSize=15,PrimaryColour=&HFFFFFF&,BorderStyle=1,Outline=0,Shadow=0,Alignment=2,MarginV=1''' AS filter FROM pages",
     # segments
     "seg1_paragraphs": f"WITH {_units('documents', 'doc_id', 'text', PRIMARY_BREAKS)} SELECT doc_id, CAST(par_idx AS BIGINT) AS par_idx, CAST(start AS BIGINT) AS start_at, CAST(stop AS BIGINT) AS end_at, piece FROM pars",
     "seg2_primary_units": f"WITH {_units('documents', 'doc_id', 'text', PRIMARY_BREAKS)} SELECT doc_id, CAST(start AS BIGINT) AS start_at, CAST(stop AS BIGINT) AS end_at, piece FROM units",
     "seg2_secondary_units": f"WITH {_units('documents', 'doc_id', 'text', SECONDARY_BREAKS)} SELECT doc_id, CAST(start AS BIGINT) AS start_at, CAST(stop AS BIGINT) AS end_at, piece FROM units",
     # alignment
     "aln1_occurrences": "WITH t AS (SELECT doc_id, substr(text, 1, 2) AS p, string_split(text, '') AS c FROM documents), e AS (SELECT doc_id, p, unnest(c) AS a, unnest(list_append(c[2:], '')) AS b, generate_subscripts(c, 1) - 1 AS i FROM t WHERE p <> '') SELECT doc_id, CAST(i AS BIGINT) AS at FROM e WHERE (CASE WHEN length(p) = 1 THEN a ELSE a || b END) = p",
-    "aln4_match_events": f"WITH RECURSIVE {HEARD}, walk AS ({_WALK} FROM (SELECT w.*, nullif(instr(substr(notes, w.cur + 1), substr(said, w.i + 1, 1)), 0) + w.cur - 1 AS p FROM walk w JOIN heard_by h USING (deck_id, slide_num) WHERE w.i < n)) {_WALKED}",
+    "aln4_match_events": f"WITH RECURSIVE {HEARD}, {WALK} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(i - 1 AS BIGINT) AS ev_idx, hit AS source_start, CAST(m.offset_ms AS BIGINT) AS offset_ms FROM walk JOIN matched m USING (deck_id, slide_num) WHERE m.ev_idx = i - 1 AND hit IS NOT NULL",
     "aln5_overlaps": f"WITH {RAW} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(seg_idx AS BIGINT) AS seg_idx, CAST(raw_start AS BIGINT) AS raw_start, CAST(raw_end AS BIGINT) AS raw_end FROM raw",
     "aln6_interpolate": f"WITH RECURSIVE {FILLED} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(seg_idx AS BIGINT) AS seg_idx, s AS start_ms, e AS end_ms, gap AS interpolated FROM filled",
     "aln7_clamp": f"WITH RECURSIVE {CAPTIONS} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(seg_idx AS BIGINT) AS seg_idx, start_ms, CAST(end_ms AS BIGINT) AS end_ms FROM captions",

@@ -182,11 +182,6 @@ def _matches(m):
 
 @query
 def aln4_match_events(spark, d):
-    return _matches(align.match_simple(b.slides(spark, d), b.events(spark, d)))
-
-
-@query
-def aln4_full_rule(spark, d):
     return _matches(align.match(b.slides(spark, d), b.events(spark, d)))
 
 
