@@ -49,8 +49,8 @@ WALK = f"""walk AS (SELECT deck_id, slide_num, 0 AS i, CAST(0 AS BIGINT) AS cur,
       near[CASE WHEN len(near) > 1 AND i + 1 < n THEN list_min(list_filter(range(1, len(near) + 1), lambda k: after[k] - near[k] <= 10 + list_min(list_transform(range(1, len(near) + 1), lambda j: after[j] - near[j])))) END],
       near[1], nullif(instr(substr(notes, CAST(cur + 1 AS INT)), c), 0) + cur - 1, nullif(instr(lower(substr(notes, CAST(cur + 1 AS INT), 200)), lower(c)), 0) + cur - 1) AS BIGINT) AS p
     FROM (SELECT *, {_then(_then(_then("list_transform(near, lambda x: x + 1)", 1), 2), 3)} AS after
-    FROM (SELECT *, list_filter(range(cur, least(cur + 200, length(notes))), lambda x: substr(notes, CAST(x + 1 AS INT), 1) = c) AS near
-    FROM (SELECT w.*, notes, said, n, substr(said, w.i + 1, 1) AS c FROM walk w JOIN heard_by h USING (deck_id, slide_num) WHERE w.i < n)))))"""
+    FROM (SELECT *, list_transform(list_filter(range(1, len(ahead) + 1), lambda x: ahead[x] = c), lambda x: x + cur - 1) AS near
+    FROM (SELECT w.*, notes, said, n, substr(said, w.i + 1, 1) AS c, string_split(substr(notes, CAST(w.cur + 1 AS INT), 200), '') AS ahead FROM walk w JOIN heard_by h USING (deck_id, slide_num) WHERE w.i < n)))))"""
 
 
 SEGS = EVENTS + ", " + _units("slides", "deck_id, slide_num", "notes", PRIMARY_BREAKS) + ", segs AS (SELECT deck_id, slide_num, row_number() OVER (PARTITION BY deck_id, slide_num ORDER BY start) - 1 AS seg_idx, start, stop, piece FROM units)"
