@@ -1,14 +1,17 @@
 """Secret scans: candidate strings in a text, and a random forest that tells secrets from look-alikes.
 
 Candidates are maximal runs of 16 or more characters of the alphabets that keys and tokens use, strings with a known
-prefix, values of 4 or more characters assigned to a name like password, of any characters if quoted, and passwords in
-connection strings. A value is a candidate without the name before it. The forest looks at the candidate's length, its character transitions, how much of it common words
-cover, whether it stands in a path or address, and the words beside it. It is trained on the driver from labelled
-findings: `findings` gives a fixed, seeded list of them, of bounded size, and a caller can pass other ones. Each
-tree becomes nested conditional expressions, so scanning is one projection without shuffles or Python.
+prefix of any length, values assigned to a name like password (4 or more characters, of any kind if quoted), and passwords
+in connection strings. A value is a candidate without the name and the sign before it. The forest looks at the candidate's
+length, its character transitions, how much of it common words cover, whether it stands in a path or address, and the
+words beside it, which are those of the text, other candidates included. It is trained on the driver from labelled texts:
+`findings` and `assigned` give fixed, seeded lists of them, of bounded size, and a caller can pass other ones. `train`
+cuts candidates and neighbours out of them by the same expressions as `scan`. Each tree becomes nested conditional
+expressions, so scanning is one projection without shuffles or Python.
 
 Cases: a null or empty text has no candidates; very long texts and very long runs are taken whole; repeated rows,
-repeated ids and null ids each give their row; other columns of docs are not looked at.
+repeated ids and null ids each give their row; other columns of docs are not looked at; candidates don't overlap, the
+one that begins first counts; a text without candidates has an empty array.
 """
 
 from __future__ import annotations
@@ -32,13 +35,15 @@ KNOWN = r"^(?:AKIA[0-9A-Z]{12,}|ASIA[0-9A-Z]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|sk[
 #: A value without quotes, and the name and sign before a value.
 BARE = r"""(?![=:>])[^\s"'`,;<>()\[\]{}&|]{3,}[^\s"'`,;<>()\[\]{}&|.:?]"""
 NAMES = r"(?i:secret|token|passw(?:or)?d|passphrase|pwd|api[_ -]?key|access[_ -]?key|secret[_ -]?key|private[_ -]?key|auth|bearer|credentials?)"
-SET = NAMES + r"""["']?[ \t]{0,3}(?::=|=>|==?|:)[ \t]{0,3}"""
+SIGN = r"""["']?[ \t]{0,3}(?::=|=>|==?|:)[ \t]{0,3}"""
+#: What a match of CANDIDATE begins with that is not of the candidate.
+LEAD = rf"""^{SIGN}["']?"""
+#: Each way begins with a look at single characters, which rules it out at most places of a text.
 CANDIDATE = "|".join([
-    rf"""(?<=["'])(?<={SET}["'])[^"'\r\n]{{4,}}(?=["'])""",
-    rf"(?<=[:=> \t])(?<={SET}){BARE}",
-    r"""(?<=:)(?<=://[^\s:/@"']{0,64}:)[^\s/"']{3,}(?=@)""",
-    rf"(?<![A-Za-z0-9+/_=\-])(?![A-Za-z0-9_\-]{{0,40}}{NAMES}==?{BARE})[A-Za-z0-9+/_=\-]{{16,}}",
-    "(?<![A-Za-z0-9])" + KNOWN.removeprefix("^"),
+    rf"""(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{{16,}}+(?:={{1,2}}(?![A-Za-z0-9+/_\-"']))?""",
+    rf"""(?=["' \t:=])(?=["']?[ \t]{{0,3}}[:=])(?<={NAMES}){SIGN}(?:["'][^"'\r\n]{{4,}}(?=["'])|{BARE})""",
+    r""":(?<=://[^\s:/@"']{0,64}:)[^\s/"']{3,}(?=@)""",
+    "(?=[AEaegnsx])(?<![A-Za-z0-9])" + KNOWN.removeprefix("^"),
 ])
 WORDS = "the and for that with this from have not are was which their will would there been were more when who time into only other new some could these two may then first any our over such than now its like also after made many most through where much should well people down own just because good each those feel seem how high too place little world very still nation hand old life tell write become here show house both between need mean call develop under last right move thing general school never same another begin while number part turn real leave might want point form off child few small since against ask late home interest large person end open public follow during present without again hold govern around possible head consider word program problem however lead system set order eye plan run keep face fact group play stand increase early course change help line test user name value data file path index config main class string function return object array error debug info server client default example version update install package module import export license copyright"
 DICTIONARY = "(?i)" + "|".join(sorted({w for w in WORDS.split() if len(w) > 3}, key=lambda w: (-len(w), w)))
@@ -100,11 +105,11 @@ def findings(n: int = 1_600, seed: int = 11) -> list[tuple[str, str, str, bool]]
         if kind == 2:
             return "/".join(r.choices(plain, k=r.randint(4, 8))), prose(2) + r.choice([" /", " http://", " see ", " www."]), r.choice([".py", ".html ", " ", "?"])
         if kind == 3:
-            return r.choice("_- ".replace(" ", "")).join(r.choices(plain, k=r.randint(4, 7))), before + r.choice(["", "key = ", "def ", "token_"]), after
+            return r.choice("_-").join(r.choices(plain, k=r.randint(4, 7))), before + r.choice(["", "key = ", "def ", "token_"]), after
         if kind == 4:
             return pick(string.digits, r.randint(16, 24)), before + r.choice(["", "card ", "id: ", "number "]), after
         if kind == 5:
-            return r.choice("=-_xX*0".replace("*", "")) * r.randint(16, 60), before + r.choice(["", "password = ", "token: "]), after
+            return r.choice("=-_xX0") * r.randint(16, 60), before + r.choice(["", "password = ", "token: "]), after
         if kind == 6:
             return r.choice(["your_api_key_here_please", "EXAMPLE_TOKEN_EXAMPLE_TOKEN", "changeme-changeme-changeme", "insert-your-secret-key-here"]) + pick(string.digits, r.randint(0, 2)), r.choice(["token = ", "api_key: ", "secret = "]), after
         return "".join(pick(r.choice(["aeiou", "bcdfghlmnprst"]), 1) + pick("aeioubcdlmnrst", 2) for _ in range(r.randint(6, 10))), before, after
@@ -180,32 +185,55 @@ def grow(rows: list[tuple[dict[str, float], bool]], r: random.Random, depth: int
 
 
 def train(spark, labelled: list[tuple[str, str, str, bool]], n_trees: int = 15, depth: int = 6, seed: int = 5) -> list[Node]:
-    """A forest from labelled findings, whose features Spark computes as it does when scanning; the caller bounds their number."""
-    df = spark.createDataFrame(labelled, "c string, before string, after string, y boolean")
-    rows = [({f: x[f] for f in FEATURES}, x["y"]) for x in df.select("y", *[F.expr(sql).alias(f) for f, sql in FEATURES.items()]).collect()]
+    """A forest from labelled findings (string, text before and after it, whether it is a secret); the caller bounds their number.
+
+    What is learned from are the candidates that `scan` sees in such a text: one is a secret if it is the string or most of it."""
+    df = spark.createDataFrame([(i, c, b + c + a, y) for i, (c, b, a, y) in enumerate(labelled)], "doc_id long, finding string, text string, y boolean")
+    found = df.select("doc_id", "finding", "y", F.explode(candidates(F.col("text"))).alias("x")).select("doc_id", "finding", "y", "x.*")
+    is_it = F.contains("finding", "c") & (2 * F.length("c") > F.length("finding")) | F.contains("c", "finding")
+    rows = found.select("doc_id", "start", (F.col("y") & is_it).alias("secret"), *[F.expr(sql).alias(f) for f, sql in FEATURES.items()]).orderBy("doc_id", "start").collect()
+    rows = [({f: x[f] for f in FEATURES}, x["secret"]) for x in rows]
     r = random.Random(seed)
     return [grow(r.choices(rows, k=len(rows)), r, depth) for _ in range(n_trees)]
 
 
-def scan(docs: DataFrame, forest: list[Node], threshold: float = 0.5) -> DataFrame:
-    """For each row of docs: doc_id and findings, an array of candidate, start (in code points, from 0), score and secret."""
-    text = F.coalesce("text", F.lit(""))
-    kind = "array<struct<start:int,c:string,before:string,after:string>>"
+#: Candidates whose lengths are added up together, so that the places of many take no time that grows with their square.
+BLOCK = 256
+
+
+def candidates(text: Column) -> Column:
+    """The candidates of a text: start (in code points, from 0), c, and before and after, its neighbours, no further than the two candidates on that side."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def places(pieces: Column, found: Column, sizes: Column, sums: Column) -> Column:
+        tail = lambda x: F.right(F.coalesce(x, F.lit("")), F.lit(BEFORE))
+        head = lambda x: F.left(F.coalesce(x, F.lit("")), F.lit(AFTER))
 
-    def places(pieces: Column, found: Column) -> Column:
-        def step(a: Column, i: Column) -> Column:
-            c, before, after = F.get(found, i), F.get(pieces, i), F.get(pieces, i + 1)
-            at = a["at"] + F.length(before)
-            one = F.struct(at.alias("start"), c.alias("c"), F.right(before, F.lit(BEFORE)).alias("before"), F.left(after, F.lit(AFTER)).alias("after"))
-            return F.struct((at + F.length(c)).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+        def one(m: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            at = F.get(sums, block) + total(F.slice(sizes, block * BLOCK + 1, i - block * BLOCK)) + F.length(F.get(pieces, i))
+            c = F.regexp_replace(m, F.lit(LEAD), F.lit(""))
+            lead = F.length(m) - F.length(c)
+            near = F.concat(*[tail(F.get(x, i - k)) for x, k in ((pieces, 2), (found, 2), (pieces, 1), (found, 1), (pieces, 0))], F.left(m, lead))
+            behind = F.concat(*[head(F.get(x, i + k)) for x, k in ((pieces, 1), (found, 1), (pieces, 2), (found, 2), (pieces, 3))])
+            return F.struct((at + lead).alias("start"), c.alias("c"), tail(near).alias("before"), head(behind).alias("after"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-        numbers = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(numbers, start, step, lambda a: a["out"])
+        return F.transform(found, one)
 
-    candidates = bind(F.split(text, CANDIDATE, -1), lambda p: bind(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: places(p, m)))
+    def numbered(pieces: Column, found: Column) -> Column:
+        sizes = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(pieces, i)))
+        blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / BLOCK).cast("int")), lambda b: total(F.slice(v, b * BLOCK + 1, BLOCK)))
+        upto = lambda v: bind(blocks(v), lambda s: F.transform(s, lambda _, b: total(F.slice(s, 1, b))))
+        return bind(sizes, lambda v: bind(upto(v), lambda s: places(pieces, found, v, s)))
+
+    found = bind(F.split(text, CANDIDATE, -1), lambda p: bind(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: numbered(p, m)))
+    return F.when(F.rlike(text, F.lit(CANDIDATE)), found).otherwise(F.array().cast("array<struct<start:int,c:string,before:string,after:string>>"))
+
+
+def scan(docs: DataFrame, forest: list[Node], threshold: float = 0.5) -> DataFrame:
+    """For each row of docs: doc_id and findings, an array of candidate, start (in code points, from 0), score and secret."""
     scored = "transform(cands, c0 -> named_struct('start', c0.start, 'candidate', c0.c, 'score', transform(array(" + _features("c0") + f"), f -> ({' + '.join(t.sql() for t in forest)}) / {len(forest)})[0]))"
-    out = docs.select("doc_id", F.when(F.rlike(text, F.lit(CANDIDATE)), candidates).otherwise(F.array().cast(kind)).alias("cands")).select("doc_id", F.expr(scored).alias("s"))
+    out = docs.select("doc_id", candidates(F.coalesce("text", F.lit(""))).alias("cands")).select("doc_id", F.expr(scored).alias("s"))
     return out.select("doc_id", F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["candidate"].alias("candidate"), x["score"].alias("score"), (x["score"] > threshold).alias("secret"))).alias("findings"))
 
 
