@@ -80,7 +80,8 @@ def _signatures() -> list[Signature]:
     rule("gpl", "gpl", 30, 0.5, " gpl ", " gnu gpl ")
     for label, name in {"cc-by": "cc by", "cc-by-sa": "cc by sa", "cc-by-nc": "cc by nc", "cc-by-nd": "cc by nd", "cc-by-nc-sa": "cc by nc sa", "cc-by-nc-nd": "cc by nc nd"}.items():
         rule(label, "cc", 45, 0.6, f" {name} ", f" {name} [1-4] [05] ", f" licensed under (?:a |the )?{name}(?: [1-4] [05])? ")
-    rule("cc0", "cc0", 45, 0.8, " cc0 ", " cc0 1 0(?: universal)? ", " creative commons zero ")
+    rule("cc0", "cc0", 45, 0.8, " cc0 ", " cc0 1 0(?: universal)? ")
+    rule("cc0", "creative", 45, 0.8, " creative commons zero(?: 1 0)?(?: universal)? ")
     # Sentences of the license texts themselves
     rule("mit", "permission", 70, 0.9, " permission is hereby granted free of charge to any person obtaining a copy of this software ", " the above copyright notice and this permission notice shall be included in all copies or substantial portions ")
     rule("isc", "permission", 70, 0.9, " permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted ")
