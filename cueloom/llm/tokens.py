@@ -175,23 +175,27 @@ class ShardWriter:
 
 
 class ShardReader:
-    """One file's bytes; frames are decompressed when asked for."""
+    """One file; what is read of it are its last bytes, the tables at its end, and those frames that are asked for.
 
-    def __init__(self, content: bytes):
+    content is the whole file, or a function that reads so many bytes from a place of a file of size bytes."""
+
+    def __init__(self, content: bytes | Callable[[int, int], bytes], size: int | None = None):
         import zstandard
 
-        self.content = memoryview(content)
-        n, descriptor, magic = struct.unpack("<IBI", self.content[-9:])
+        if not callable(content):
+            view, size = memoryview(content), len(content)
+            content = lambda at, n: view[at : at + n]
+        self.bytes_at = content
+        n, descriptor, magic = struct.unpack("<IBI", self.bytes_at(size - 9, 9))
         if magic != SEEKABLE or descriptor & 0x80 == 0:
             raise ValueError("no seek table with checksums at the end of the file")
-        at = len(content) - 9 - 12 * n
-        self.table = [struct.unpack("<III", self.content[at + 12 * i : at + 12 * i + 12]) for i in range(n)]
+        self.table = list(struct.iter_unpack("<III", self.bytes_at(size - 9 - 12 * n, 12 * n)))
         self.starts = np.concatenate(([0], np.cumsum([t[0] for t in self.table]))).astype(int)
         self.decompressor = zstandard.ZstdDecompressor()
-        kind, size = struct.unpack("<II", self.content[self.starts[-1] : self.starts[-1] + 8])
+        kind, length = struct.unpack("<II", self.bytes_at(int(self.starts[-1]), 8))
         if kind != SKIPPABLE:
             raise ValueError("no document index after the frames")
-        index = self.decompressor.decompress(self.content[self.starts[-1] + 8 : self.starts[-1] + 8 + size])
+        index = self.decompressor.decompress(self.bytes_at(int(self.starts[-1]) + 8, length))
         (k,) = struct.unpack("<I", index[:4])
         self.head = json.loads(index[4 : 4 + k])
         m, body = self.head["documents"], index[4 + k :]
@@ -205,7 +209,7 @@ class ShardReader:
         from xxhash import xxh64_intdigest
 
         packed, size, checksum = self.table[i]
-        raw = self.decompressor.decompress(self.content[self.starts[i] : self.starts[i] + packed], max_output_size=size)
+        raw = self.decompressor.decompress(self.bytes_at(int(self.starts[i]), packed), max_output_size=size)
         if len(raw) != size or xxh64_intdigest(raw) & 0xFFFFFFFF != checksum:
             raise ValueError(f"frame {i} doesn't match its checksum")
         return np.frombuffer(raw, self.dtype)
@@ -261,19 +265,42 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(decode, "shard long, place long, doc_id long, first long, n_tokens long, ids_crc32 long")
 
 
+def _ranges(uri: str) -> Callable[[int, int], bytes] | None:
+    """A function that reads bytes of the file at uri; none if only Spark's own readers know such files."""
+    import pyarrow.fs
+
+    try:
+        system, path = pyarrow.fs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid:  # a scheme that is not known here
+        return None
+    file = system.open_input_file(path)
+    return lambda at, n: file.read_at(n, at)
+
+
 def read_documents(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
-    """doc_id and ids of the documents in wanted; other frames stay compressed."""
+    """doc_id and ids of the documents in wanted, a list of the caller. Of each file are read the tables at its end, and of the frames only those
+    that hold one of them; files on a file system that only Spark's readers know are read whole, and other frames stay compressed."""
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(reader: ShardReader) -> pa.RecordBatch:
+        places = np.flatnonzero(np.isin(reader.doc_ids, wanted) & ~reader.nulls).tolist()
+        ids = [x.tolist() for _, x in reader.documents(places)]
+        return pa.RecordBatch.from_arrays([pa.array(reader.doc_ids[places]), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    def in_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                yield found(ShardReader(_ranges(uri), size))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                reader = ShardReader(content.as_py())
-                places = np.flatnonzero(np.isin(reader.doc_ids, wanted) & ~reader.nulls).tolist()
-                found = list(reader.documents(places))
-                yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids[places]), pa.array([ids.tolist() for _, ids in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+                yield found(ShardReader(content.as_py()))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(decode, "doc_id long, ids array<bigint>")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    first = files.select("path").first()
+    if first is not None and _ranges(first["path"]) is not None:
+        return files.select("path", "length").mapInArrow(in_ranges, "doc_id long, ids array<bigint>")
+    return files.select("content").mapInArrow(whole, "doc_id long, ids array<bigint>")
 
 
 def numbered(documents: DataFrame) -> DataFrame:
