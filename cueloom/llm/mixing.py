@@ -153,11 +153,14 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs: doc_id, size, source_size, target and taken, the words that the mix takes of it."""
+    """A row for each row of docs: doc_id, size, source_size, target and taken, the words that the mix takes of it, with
+    n_slots, the slots of the schedule that take some, and first_slot, the earliest of these: the mix begins with the rows of small first_slot."""
     # start is a place of its own for each row with words; rows without words count one by one.
     mixed = mix(docs).withColumn("row", F.when(F.col("size") > 0, F.struct("sid", "start")))
-    whole = mixed.where("size > 0").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.coalesce(F.sum(F.col("end") - F.col("begin")), F.lit(0)).cast("long").alias("taken"))
-    empty = mixed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    same = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
+    whole = mixed.where("size > 0").groupBy("row").agg(*same, F.coalesce(F.sum(F.col("end") - F.col("begin")), F.lit(0)).cast("long").alias("taken"), F.count("slot").alias("n_slots"), F.min("slot").alias("first_slot"))
+    nothing = F.lit(0).cast("long")
+    empty = mixed.where("size = 0").select("doc_id", "size", "source_size", "target", nothing.alias("taken"), nothing.alias("n_slots"), F.lit(None).cast("long").alias("first_slot"))
     return whole.select(*empty.columns).unionByName(empty)
 
 
