@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.test_rowwise import corpus, same
 
@@ -134,6 +135,18 @@ def test_token_files(spark, tmp_path, monkeypatch):
     tokens.write(brute.table(spark, data), path, tokenizer_file(), shard_bytes=3000)
     got = tokens.read_documents(spark, path, [7, 150, 9999]).collect()
     assert sorted((r.doc_id, r.ids) for r in got) == [(7, whole[7]), (150, whole[150])]
+    read = []
+    file = [f for f in sorted(os.listdir(path)) if f.startswith("part-")][0]
+    at = tokens._ranges(f"file://{path}/{file}")
+    reader = tokens.ShardReader(at, os.path.getsize(f"{path}/{file}"))
+    ((_, ids),) = reader.documents([0])
+    assert ids.tolist() == whole[reader.doc_ids[0]]
+    reader = tokens.ShardReader(lambda a, n: read.append((a, n)) or content[a : a + n], len(content))
+    ((_, ids),) = reader.documents([7])
+    assert ids.tolist() == whole[7] and sum(n for _, n in read) < len(content) and len(read) < 4 + len(reader.table)
+    assert tokens._ranges("nowhere://a/b") is None
+    monkeypatch.setattr(tokens, "_ranges", lambda uri: None)
+    assert sorted((r.doc_id, r.ids) for r in tokens.read_documents(spark, path, [7, 150]).collect()) == [(7, whole[7]), (150, whole[150])]
 
 
 def test_no_tokens(spark):
@@ -161,6 +174,26 @@ def test_mix(spark, sf):
         assert sorted(map(str, got)) == sorted(map(str, mixing.taken_words(df).collect()))
 
 
+def test_the_result_is_in_proportion_from_its_start_on(spark, sf):
+    """The words of the mix in the order of slots: in every stretch each source has its share, within a few blocks."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    pieces = mixing.mix(docs).where("slot is not null").groupBy("slot", "sid").agg(F.sum(F.col("end") - F.col("begin")).alias("n")).orderBy("slot").collect()
+    total, share = sum(p.n for p in pieces), {}
+    for p in pieces:
+        share[p.sid] = share.get(p.sid, 0) + p.n / total
+    assert len(share) > 2 and len({p.slot for p in pieces}) == len(pieces)
+    seen, words = dict.fromkeys(share, 0), 0
+    for p in pieces:
+        seen[p.sid] += p.n
+        words += p.n
+        assert all(abs(seen[s] - share[s] * words) <= 8 * mixing.BLOCK_WORDS for s in share)
+    got = mixing.taken_words(docs).collect()
+    assert all((r.n_slots > 0) == (r.taken > 0) == (r.first_slot is not None) for r in got)
+    assert all(r.taken <= r.n_slots * (mixing.BLOCK_WORDS + 1) for r in got)
+    early = {s: 0 for s in range(len(pieces))}
+    assert {r.first_slot for r in got if r.taken} <= set(early)
+
+
 def test_schedule_is_even(spark):
     s = spark.createDataFrame([(1, 6400), (2, 3200), (3, 640), (4, 0), (5, 10)], "sid int, take long")
     slots = mixing.schedule(s).orderBy("slot").collect()

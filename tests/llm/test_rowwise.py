@@ -1,5 +1,7 @@
 """Operators that judge each text alone, against plain Python."""
 
+import re
+
 import pytest
 
 from cueloom.llm import decontaminate, licenses, quality, secrets
@@ -62,6 +64,25 @@ def test_hundreds_of_signatures():
     assert all(any(root in s.keyword for root in licenses.ROOTS) for s in licenses.SIGNATURES)
 
 
+def example(pattern):
+    """A text that a signature's pattern is made for: first of alternatives, with all optional parts."""
+    p = pattern.strip()
+    p = re.sub(r"\\S\+\(\?: \\S\+\)\{[^}]*\}", "some holder", p).replace(r"\S+", "holder")
+    p = re.sub(r"\[(.)[^]]*\]", r"\1", p)
+    while (q := re.sub(r"\((?:\?:)?([^()|]*)(?:\|[^()]*)?\)\??", r"\1", p)) != p:
+        p = q
+    return re.sub(r"(.)\?", r"\1", p)
+
+
+def test_every_signature_finds_its_own_example(spark):
+    texts = [example(s.pattern) for s in licenses.SIGNATURES]
+    assert all(re.search(s.pattern, f" {t} ") and s.keyword in t for s, t in zip(licenses.SIGNATURES, texts, strict=True)), [(s.pattern, t) for s, t in zip(licenses.SIGNATURES, texts, strict=True) if not re.search(s.pattern, f" {t} ") or s.keyword not in t]
+    got = {r.doc_id: r for r in licenses.scan(brute.table(spark, list(enumerate(texts)))).collect()}
+    # A longer signature that holds this one may stand for it.
+    silent = [(s.label, s.pattern) for i, s in enumerate(licenses.SIGNATURES) if not any(x.split("-")[0] == s.label.split("-")[0] for x in got[i].labels.split(","))]
+    assert not silent
+
+
 def test_secrets(spark):
     forest = secrets.train(spark, secrets.findings())
     held = secrets.findings(400, seed=77)
