@@ -33,6 +33,11 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new, KEY, "left_anti").unionByName(new)
 
 
+def resolve_manifest(this_run: DataFrame, stored: DataFrame) -> DataFrame:
+    """Each deck's entries of this run, if it has any, else the stored ones; decks without either have none."""
+    return this_run.unionByName(stored.join(this_run.select("deck_id").distinct(), "deck_id", "left_anti"))
+
+
 def selected(slides: DataFrame, wanted: DataFrame) -> DataFrame:
     return slides.join(wanted, KEY, "left_semi")
 

@@ -119,6 +119,16 @@ def check_words(words: DataFrame, clips: DataFrame, tracks: DataFrame, rate: int
     return mine.cogroup(whole).applyInPandas(run, schema)
 
 
+def word_report(checked: DataFrame) -> DataFrame:
+    """What `check_words` found, with the nine columns of its report."""
+    return checked.select(*[F.col("deck_id"), *(F.col(a).alias(b) for a, b in WORD_REPORT.items())])
+
+
+#: Columns of the report and what they are called there; fixed values.
+WORD_REPORT = {
+    "slide_num": "slide_num", "text": "text", "offset_s": "word_offset_seconds", "fraction": "fraction_within_slide", "naive_delta": "naive_delta_seconds", "implied_scale": "implied_local_scale",
+    "corrected_delta": "corrected_delta_seconds", "predicted_s": "corrected_predicted_word_position_seconds", "measured_s": "measured_word_position_seconds",
+}
 WORD_COLUMNS = ["slide_num", "ev_idx", "text", "offset_s", "fraction", "naive_delta", "implied_scale", "corrected_delta", "predicted_s", "measured_s"]
 
 

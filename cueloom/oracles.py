@@ -176,8 +176,9 @@ ORACLE_SQL: dict[str, str] = {
     "ivl5_overlapping": f"WITH RECURSIVE {RAW}, c AS (SELECT deck_id, slide_num, seg_idx, raw_start AS s, raw_end + CASE WHEN seg_idx % 3 = 0 THEN 500 ELSE 0 END AS e FROM raw WHERE raw_start IS NOT NULL), l AS (SELECT *, lag(e) OVER (PARTITION BY deck_id, slide_num ORDER BY seg_idx) - s AS o FROM c) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(seg_idx AS BIGINT) AS cue_idx, CAST(o AS BIGINT) AS overlap_ms FROM l WHERE o > 0",
     "srt2_format": f"{SRT} SELECT deck_id, srt FROM srt",
     "srt3_round_trip": f"{PREDICTED}, {CUES} SELECT deck_id, CAST(cue_idx AS BIGINT) AS cue_idx, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms, text FROM cues",
-    "snk10_part_files": f"{PREDICTED}, {CUES}, w AS (SELECT deck_id, 0 AS part_idx, 0 AS w0, predicted_ms AS w1 FROM starts WHERE slide_num = 3), c AS (SELECT c.deck_id, part_idx, row_number() OVER (PARTITION BY c.deck_id ORDER BY cue_idx) AS n, greatest(start_ms, w0) - w0 AS a, least(end_ms, w1) - w0 AS b, text FROM cues c JOIN w ON w.deck_id = c.deck_id WHERE least(end_ms, w1) > greatest(start_ms, w0)) SELECT deck_id, CAST(part_idx AS BIGINT) AS part_idx, string_agg(CAST(n AS VARCHAR) || chr(10) || {_time('a')} || ' --> ' || {_time('b')} || chr(10) || text, chr(10) || chr(10) ORDER BY n) || chr(10) AS srt FROM c GROUP BY ALL",
+    "snk10_part_files": f"{PREDICTED}, {CUES}, {TOTALS}, e AS (SELECT deck_id, predicted_ms AS at_ms FROM starts WHERE slide_num = 3 UNION ALL SELECT deck_id, 0 FROM totals UNION ALL SELECT deck_id, total_ms FROM totals), w AS (SELECT deck_id, row_number() OVER v - 1 AS part_idx, at_ms AS w0, lead(at_ms) OVER v AS w1 FROM e WINDOW v AS (PARTITION BY deck_id ORDER BY at_ms)), c AS (SELECT c.deck_id, part_idx, row_number() OVER (PARTITION BY c.deck_id, part_idx ORDER BY cue_idx) AS n, greatest(start_ms, w0) - w0 AS a, least(end_ms, w1) - w0 AS b, text FROM cues c JOIN w ON w.deck_id = c.deck_id WHERE w1 IS NOT NULL AND least(end_ms, w1) > greatest(start_ms, w0)) SELECT deck_id, CAST(part_idx AS BIGINT) AS part_idx, string_agg(CAST(n AS VARCHAR) || chr(10) || {_time('a')} || ' --> ' || {_time('b')} || chr(10) || text, chr(10) || chr(10) ORDER BY n) || chr(10) AS srt FROM c GROUP BY ALL",
     # lookups and merges
+    "mrg3_manifest": f"WITH {ENTRIES}, k AS (SELECT deck_id, slide_num, audio_file FROM entries WHERE entry_idx = 0), now AS (SELECT deck_id, slide_num, 'now.mp3' AS audio_file FROM k WHERE deck_id % 3 = 0) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, audio_file FROM now UNION ALL SELECT deck_id, CAST(slide_num AS BIGINT), audio_file FROM k WHERE deck_id % 5 <> 0 AND deck_id % 3 <> 0",
     "mrg1_upsert": f"WITH {ENTRIES}, fresh AS (SELECT deck_id, slide_num, 'new.mp3' AS audio_file FROM slides WHERE slide_num % 3 = 1), kept AS (SELECT deck_id, slide_num, audio_file FROM entries e WHERE entry_idx = 0 AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.deck_id = e.deck_id AND f.slide_num = e.slide_num)) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, audio_file FROM kept UNION ALL SELECT deck_id, CAST(slide_num AS BIGINT), audio_file FROM fresh",
     "mrg2_selected": f"WITH {SLIDES} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, title FROM slides WHERE slide_num IN (1, 3, 4)",
     "mrg2_absent": f"WITH {SLIDES}, d AS (SELECT DISTINCT deck_id FROM slides), w AS (SELECT deck_id, unnest([1, 3, 4]) AS slide_num FROM d) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num FROM w WHERE NOT EXISTS (SELECT 1 FROM slides s WHERE s.deck_id = w.deck_id AND s.slide_num = w.slide_num)",
@@ -199,6 +200,8 @@ ORACLE_SQL: dict[str, str] = {
     "src12_observations": f"WITH {SLIDES}, {STARTS} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, round(predicted_ms / 1000, 3) AS observed FROM starts",
     "snk1_payload": f"WITH {ENTRIES}, f AS (SELECT deck_id, slide_num, arg_min(coalesce(audio_file, ''), entry_idx) AS a FROM entries GROUP BY ALL) SELECT s.deck_id, CAST(count(*) AS BIGINT) AS slide_count, CAST(sum(CASE WHEN coalesce({_strip('notes')}, '') <> '' THEN 1 ELSE 0 END) AS BIGINT) AS narrated, CAST(count(nullif(a, '')) AS BIGINT) AS with_audio FROM slides s LEFT JOIN f ON f.deck_id = s.deck_id AND f.slide_num = s.slide_num GROUP BY s.deck_id",
     "snk7_bounds": f"WITH {SLIDES}, {BOUNDS} SELECT deck_id, '{{' || string_agg('\"' || CAST(slide_num AS VARCHAR) || '\":[' || CAST(start_ms AS VARCHAR) || ',' || coalesce(CAST(end_ms AS VARCHAR), 'null') || ']', ',' ORDER BY slide_num) || '}}' AS bounds FROM bounds GROUP BY deck_id",
+    "snk7_bounds_dump": f"WITH {SLIDES}, {BOUNDS}, w AS (SELECT deck_id, string_agg('slide ' || CAST(slide_num AS VARCHAR), ';' ORDER BY slide_num) AS warnings FROM slides WHERE slide_num % 4 = 0 GROUP BY deck_id) SELECT coalesce(b.deck_id, w.deck_id) AS deck_id, CAST(8.0 AS DOUBLE) AS anchor, coalesce(warnings, '') AS warnings, CAST(slide_num AS VARCHAR) AS slide, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms FROM bounds b FULL JOIN w ON w.deck_id = b.deck_id",
+    "snk8_csv_documents": f"WITH {EVENTS} SELECT deck_id, chr(65279) || 'slide_num,ev_idx,name,offset_ms' || chr(13) || chr(10) || string_agg(CAST(slide_num AS VARCHAR) || ',' || CAST(ev_idx AS VARCHAR) || ',' || CASE WHEN ev_idx = 1 THEN '\"a \"\"quoted\"\", one\"' ELSE 'plain' END || ',' || CAST(offset_ms AS VARCHAR), chr(13) || chr(10) ORDER BY slide_num, ev_idx) || chr(13) || chr(10) AS value FROM matched WHERE ev_idx < 3 GROUP BY deck_id",
     "snk9_calibration_report": f"WITH {SLIDES}, {BOUNDS}, p AS (SELECT deck_id, slide_num, CAST(start_ms AS DOUBLE) AS m, start_ms * 1.00121 AS o FROM bounds), f AS (SELECT deck_id, sum(m * o) / nullif(sum(m * m), 0) AS k, count(*) AS n FROM p GROUP BY deck_id) SELECT deck_id, round(k, 8) AS k, CAST(n AS BIGINT) AS n FROM f WHERE n >= 2",
     # fidelity
     "fid1_content_changed": f"WITH {PAIRS} SELECT doc_id, {_content('original')} <> {_content('processed')} AS changed FROM pairs",

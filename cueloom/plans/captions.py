@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.operators import align, gaps, segment, srt, timeline
+from cueloom.operators import align, gaps, segment, signal, srt, timeline
 from cueloom.operators.merge import spoken_text
 
 KEY = ["deck_id", "slide_num"]
@@ -77,6 +77,27 @@ def subtitles(slides: DataFrame, entries: DataFrame, events: DataFrame, bounds:
     return timeline.place_measured(timed, placed), warnings.unionByName(timeline.scale_warnings(timed, placed))
 
 
+def located(slides: DataFrame, entries: DataFrame, clips: DataFrame, tracks: DataFrame, anchor_s: float = signal.ANCHOR_S, search_s: float = signal.SEARCH_S, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """bounds (start_ms, end_ms) of the slides whose sound (clips: samples) is found in their deck's track, and warnings.
+
+    Where a slide is looked for follows from the lengths before it, silent slides taking their default, so slides don't wait for one another."""
+    starts = timeline.predicted_starts(slides.select(*KEY, "audio_ms")).select(*KEY, (F.col("predicted_ms") / 1000).alias("predicted_s"))
+    asked = clips.join(entries.select(*KEY).distinct(), KEY, "left_semi").join(starts, KEY).select(*KEY, "predicted_s", "samples")
+    found = signal.locate(asked, tracks, anchor_s=anchor_s, search_s=search_s, scale=scale)
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    silent = entries.select("deck_id").distinct().join(tracks.where("size(samples) > 0").select("deck_id"), "deck_id", "left_anti")
+    no_track = silent.select("deck_id", F.lit(0).alias("slide_num"), F.lit("no_track").alias("code"), F.lit("the video's sound can't be read; the predicted timeline is used").alias("message"))
+    told = signal.locate_warnings(entries, clips).unionByName(no_track)
+    return found.select(*KEY, ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms")), told.withColumn("message", F.concat(F.lit("(true-start locate) "), "message"))
+
+
+def subtitles_from_sound(slides: DataFrame, entries: DataFrame, events: DataFrame, clips: DataFrame, tracks: DataFrame, width: int = segment.DEFAULT_WIDTH, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Captions where the slides' sound stands in their deck's track, and all warnings. Decks that nothing is found of keep the predicted timeline."""
+    bounds, told = located(slides, entries, clips, tracks, scale=scale)
+    timed, warnings = subtitles(slides, entries, events, bounds, width)
+    return timed, told.unionByName(warnings)
+
+
 def suspects(slides: DataFrame, events: DataFrame) -> DataFrame:
     """Stretches of notes that were likely not spoken."""
     return gaps.dropped_narration(slides, align.match(slides, events))

@@ -427,8 +427,7 @@ def srt3_round_trip(spark, d):
 
 @query
 def snk10_part_files(spark, d):
-    parts = _windows(spark, d).where("part_idx = 0 and w1 > 0").join(_starts(spark, d).where("slide_num = 3").select("deck_id"), "deck_id", "left_semi")
-    return srt.format_srt(intervals.clip(_cues(spark, d), parts), ["deck_id", "part_idx"], ["cue_idx"])
+    return srt.format_srt(intervals.clip(_cues(spark, d), _windows(spark, d)), ["deck_id", "part_idx"], ["cue_idx"])
 
 
 @query
@@ -437,6 +436,13 @@ def mrg1_upsert(spark, d):
     return merge.upsert(old, b.slides(spark, d).where("slide_num % 3 = 1").select(*KEY, F.lit("new.mp3").alias("audio_file")))
 
 
+@query
+def mrg3_manifest(spark, d):
+    """Every third deck has entries of this run, the others have stored ones; some have neither."""
+    known = b.entries(spark, d).where("entry_idx = 0").select(*KEY, "audio_file")
+    return merge.resolve_manifest(known.where("deck_id % 3 = 0").withColumn("audio_file", F.lit("now.mp3")), known.where("deck_id % 5 <> 0"))
+
+
 def _wanted(spark, d):
     return b.slides(spark, d).select("deck_id").distinct().select("deck_id", F.explode(tx.slide_selector(F.lit("1,3-4"))).alias("slide_num"))
 
@@ -555,6 +561,25 @@ def snk7_bounds(spark, d):
     return sink.bounds(_bounds(spark, d))
 
 
+@query
+def snk7_bounds_dump(spark, d):
+    """Dumps with parameters and warnings, read again."""
+    warnings = b.slides(spark, d).where("slide_num % 4 = 0").select(*KEY, F.lit("x").alias("code"), F.concat(F.lit("slide "), F.col("slide_num").cast("string")).alias("message"))
+    dumps = sink.bound_dumps(_bounds(spark, d), warnings, {"anchor_seconds": 8.0, "scale": 1.0})
+    kind = "params struct<anchor_seconds:double,scale:double>, warnings array<string>, bounds map<string,struct<start:double,end:double>>"
+    r = dumps.select("deck_id", F.from_json("dump", kind).alias("r"))
+    return r.select("deck_id", F.col("r.params.anchor_seconds").alias("anchor"), F.array_join("r.warnings", ";").alias("warnings"), F.explode_outer("r.bounds").alias("slide", "at")).select(
+        "deck_id", "anchor", "warnings", "slide", F.round(F.col("at.start") * 1000).cast("bigint").alias("start_ms"), F.round(F.col("at.end") * 1000).cast("bigint").alias("end_ms")
+    )
+
+
+@query
+def snk8_csv_documents(spark, d):
+    """The first events of each slide as CSV text."""
+    rows = b.matched(spark, d).where("ev_idx < 3").withColumn("name", F.when(F.col("ev_idx") == 1, 'a "quoted", one').otherwise(F.lit("plain")))
+    return sink.csv_documents(rows, ["deck_id"], ["slide_num", "ev_idx", "name", "offset_ms"], ["slide_num", "ev_idx"])
+
+
 @query
 def snk9_calibration_report(spark, d):
     """Reports, read again."""

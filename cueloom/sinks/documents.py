@@ -39,6 +39,27 @@ def bounds(measured: DataFrame) -> DataFrame:
     return rows.select("deck_id", F.concat(F.lit("{"), F.array_join(F.transform("r", lambda r: r["entry"]), ","), F.lit("}")).alias("bounds"))
 
 
+def bound_dumps(measured: DataFrame, warnings: DataFrame, params: dict[str, float]) -> DataFrame:
+    """dump: the parameters of a measurement, its warnings, and the bounds in seconds by slide number, as JSON."""
+    seconds = F.struct((F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"))
+    rows = measured.select("deck_id", "slide_num", seconds.alias("at")).groupBy("deck_id").agg(_rows("slide_num", "at").alias("r"))
+    told = warnings.groupBy("deck_id").agg(F.transform(_rows("slide_num", "code", "message"), lambda w: w["message"]).alias("w"))
+    by_slide = F.map_from_entries(F.transform("r", lambda r: F.struct(r["slide_num"].cast("string").alias("key"), r["at"].alias("value"))))
+    whole = F.struct(
+        F.struct(*[F.lit(v).alias(k) for k, v in params.items()]).alias("params"), F.coalesce("w", F.array().cast("array<string>")).alias("warnings"),
+        F.coalesce(by_slide, F.create_map().cast("map<string,struct<start:double,end:double>>")).alias("bounds"),
+    )
+    return rows.join(told, "deck_id", "full").select("deck_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("dump"))
+
+
+def csv_documents(rows: DataFrame, key: list[str], columns: list[str], order: list[str], bom: bool = True) -> DataFrame:
+    """value: the rows of each key as one CSV text with a header, lines ended by CR and LF, and a byte order mark before it, so that spreadsheets read it as UTF-8."""
+    head = ("\ufeff" if bom else "") + ",".join(columns)
+    line = F.to_csv(F.struct(*columns), {"quoteEscape": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    lines = rows.select(*key, F.struct(*order, line.alias("line")).alias("r")).groupBy(*key).agg(F.sort_array(F.collect_list("r")).alias("r"))
+    return lines.select(*key, F.concat(F.lit(head + "\r\n"), F.array_join(F.transform("r", lambda r: r["line"]), "\r\n"), F.lit("\r\n")).alias("value"))
+
+
 def calibration_reports(fitted: DataFrame, points: DataFrame) -> DataFrame:
     """report: scale and statistics of each deck with its points, as JSON."""
     rows = points.groupBy("deck_id").agg(_rows("slide_num", "measured", "observed", "corrected", "residual").alias("rows"))
@@ -52,5 +73,5 @@ def write_one_file_each(documents: DataFrame, key: list[str], value: str, path:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """With a header; Spark writes no byte order mark."""
+    """With a header, in as many files as rows has partitions; Spark writes no byte order mark (see `csv_documents`)."""
     rows.write.option("header", True).csv(path)

@@ -16,6 +16,13 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def whole_texts(spark: SparkSession, path: str | None = None, text: str | None = None, default: str = "") -> DataFrame:
+    """path and value: the files at path as whole texts, else the text that is given, else a default one (with a null path)."""
+    if path is not None:
+        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    return spark.createDataFrame([(None, default if text is None else text)], "path string, value string")
+
+
 def manifest_entries(documents: DataFrame) -> DataFrame:
     """deck_id, entry_idx and the fields of each entry; documents has deck_id and value."""
     m = documents.select("deck_id", F.from_json("value", MANIFEST).alias("m"))

@@ -1,5 +1,6 @@
 """Sound, decks, speech, jobs and the stream of sidecars."""
 
+import csv
 import io
 import json
 import ssl
@@ -159,6 +160,60 @@ def test_subtitle_job(spark, files):
     assert (files / "b.srt").read_text() == ""  # recorded and passed over
 
 
+def test_jobs_with_a_track(spark, files, caplog):
+    """A track of five silent seconds before the slide's sound: located there, dumped, read again, and verified word by word."""
+    deck_args = ("--slides-json", "@slides.json", "--manifest", "@manifest.json")
+    sound = audio.decode_wav((files / "a.wav").read_bytes())
+    (files / "track.wav").write_bytes(wav([0.0] * (3 * audio.RATE) + sound.tolist() + [0.0] * (9 * audio.RATE)))
+    assert run(spark, files, "locate", *deck_args, "--track", "@track.wav", "--output", "@dump.json") == 0
+    dump = json.loads((files / "dump.json").read_text())
+    assert dump["bounds"]["1"]["start"] == pytest.approx(3.0, abs=0.01) and list(dump["bounds"]) == ["1"]
+    assert dump["params"]["global_scale_correction"] == 1.0 and dump["warnings"] == []
+    assert run(spark, files, "subtitles", *deck_args, "--track", "@track.wav", "--output", "@t.srt") == 0
+    assert run(spark, files, "subtitles", *deck_args, "--bounds", "@dump.json", "--output", "@d.srt") == 0
+    assert (files / "t.srt").read_text() == (files / "d.srt").read_text()
+    assert (files / "t.srt").read_text().startswith("1\n00:00:03,000 --> ")
+    # What is no sound leaves the predicted timeline.
+    (files / "bad.wav").write_text("no sound")
+    for name in ("@bad.wav", "@none.wav"):
+        assert run(spark, files, "subtitles", *deck_args, "--track", name, "--output", "@p.srt") == 0
+        assert (files / "p.srt").read_text().startswith("1\n00:00:00,000 --> ")
+        assert run(spark, files, "locate", *deck_args, "--track", name, "--output", "@x.json") == 1
+    assert run(spark, files, "verify", *deck_args, "--track", "@track.wav", "--csv", "@w.csv") == 0
+    raw = (files / "w.csv").read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfslide_num,text,word_offset_seconds,") and raw.endswith(b"\r\n")
+    rows = list(csv.DictReader(io.StringIO(raw.decode("utf-8-sig"))))
+    assert len(rows) == 2 and len(rows[0]) == 9 and all(abs(float(r["naive_delta_seconds"])) < 0.02 for r in rows)
+    (files / "c.srt").write_text("1\n00:00:00,000 --> 00:00:14,000\nhello\n")
+    assert run(spark, files, "split", "--srt", "@c.srt", "--bounds", "@bounds.json", "--track", "@track.wav", "--output", "@parts") == 0
+    assert run(spark, files, "split", "--srt", "@c.srt", "--bounds", "@bounds.json", "--output", "@parts") == 1
+
+
+def test_decks_without_a_track_keep_the_predicted_timeline(spark):
+    from cueloom.plans import captions
+
+    sound = [float(x) for x in np.random.default_rng(5).normal(size=4 * audio.RATE)]
+    slides = spark.createDataFrame([(d, 1, "t", "Some words here", None, 4000) for d in (1, 2)], "deck_id long, slide_num int, title string, notes string, subtitle_text string, audio_ms long")
+    entries = spark.createDataFrame([(d, 1, "a") for d in (1, 2)], "deck_id long, slide_num int, audio_file string")
+    events = spark.createDataFrame([(d, 1, 0, "Some", 100, 200) for d in (1, 2)], "deck_id long, slide_num int, ev_idx int, text string, offset_ms long, duration_ms long")
+    clips = spark.createDataFrame([(d, 1, sound) for d in (1, 2)], "deck_id long, slide_num int, samples array<float>")
+    tracks = spark.createDataFrame([(1, [0.0] * (2 * audio.RATE) + sound)], "deck_id long, samples array<float>")
+    timed, told = captions.subtitles_from_sound(slides, entries, events, clips, tracks)
+    assert {r.deck_id: r.start_ms for r in timed.collect()} == {1: 2100, 2: 100}
+    got = {(r.deck_id, r.code, r.message.split(")")[0]) for r in told.collect()}
+    assert (2, "no_track", "(true-start locate") in got and (2, "unmeasured") in {x[:2] for x in got}
+
+
+def test_lines_and_logs(spark, files, capsys):
+    (files / "n.txt").write_text("\ufeffOne. Two.\nThree", encoding="utf-8")
+    assert run(spark, files, "lines", "--file", "@n.txt") == 0
+    assert capsys.readouterr().out == "One. Two\nThree\n"
+    assert run(spark, files, "lines", "--text", "Only this.") == 0 and run(spark, files, "lines") == 0
+    assert capsys.readouterr().out.startswith("Only this\n")
+    assert jobs.main(["--log-file", f"{files}/x.log", "gaps", "--slides-json", f"{files}/none.json", "--manifest", f"{files}/m.json"], spark) == 1
+    assert "there is no file" in (files / "x.log").read_text()
+
+
 def test_other_jobs(spark, files, capsys):
     (files / "obs.json").write_text('{"1": 1.0012, "2": 13.0156, "8": 3}')
     assert run(spark, files, "calibrate", "--observations", "@obs.json", "--bounds", "@bounds.json") == 0
