@@ -107,6 +107,53 @@ def _content(s: str) -> str:
     return f"regexp_replace({s}, '[{NEUTRAL.replace(chr(39), chr(39) * 2)}]', '', 'g')"
 
 
+def _pack(parts: str, name: str) -> str:
+    """CTE name (d, g, a, b): the parts (d, g, a, b and the text t of d) of each g in the fewest lines of 36 columns, with the least sum of squared widths.
+
+    A programme over parts: the state of each is lines, squares and the part before the line, in one number; then back from the last part."""
+    ahead = f"list_transform(list_transform(range(greatest(0, j - 79), j + 1), lambda i: {_bare(_shown('substr(t, CAST(la[i + 1] + 1 AS INT), CAST(lb[j + 1] - la[i + 1] AS INT))'))}), lambda s: {_width('s')})"
+    best = "list_min(list_transform(range(1, len(w) + 1), lambda k: CASE WHEN w[k] <= 36 THEN (dp[k + greatest(0, j - 79)] // 100000 + 100000000 + w[k] * w[k]) * 100000 + k - 1 + greatest(0, j - 79) END))"
+    return f"""{name}_in AS (SELECT d, g, any_value(t) AS t, list(a ORDER BY a) AS la, list(b ORDER BY a) AS lb, count(*) AS n FROM {parts} GROUP BY d, g),
+{name}_dp AS (SELECT d, g, CAST(0 AS BIGINT) AS j, [CAST(0 AS BIGINT)] AS dp FROM {name}_in
+  UNION ALL SELECT d, g, j + 1, list_append(dp, CAST({best} AS BIGINT)) FROM (SELECT s.*, {ahead} AS w FROM {name}_dp s JOIN {name}_in p USING (d, g) WHERE j < n)),
+{name}_back AS (SELECT d, g, n AS hi, dp[n + 1] % 100000 AS lo, dp FROM {name}_dp JOIN {name}_in USING (d, g) WHERE j = n
+  UNION ALL SELECT d, g, lo, dp[lo + 1] % 100000, dp FROM {name}_back WHERE lo > 0),
+{name} AS (SELECT d, g, la[lo + 1] AS a, lb[hi] AS b FROM {name}_back JOIN {name}_in USING (d, g))"""
+
+
+def _split(source: str, pattern: str, name: str) -> str:
+    """CTE name (d, g, a, b, t): the pieces of source (d, a, b, t) that pattern finds one after another, without blank ones; g is where the whole began."""
+    hide = "substr(t, CAST(a + 1 AS INT), CAST(b - a AS INT))"
+    for _ in range(2):
+        hide = f"regexp_replace({hide}, '([0-9])[,]([0-9])', '\\1' || chr(2) || '\\2', 'g')"
+    return f"""{name}0 AS (SELECT d, t, a AS f, regexp_extract_all({hide}, '{pattern}') AS l FROM {source}),
+{name}1 AS (SELECT d, t, f, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM {name}0),
+{name}2 AS (SELECT *, f + CAST(coalesce(sum(length(piece)) OVER (PARTITION BY d, f ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM {name}1),
+{name} AS (SELECT d, f AS g, a, a + length(piece) AS b, t FROM {name}2 WHERE regexp_replace(piece, '[{SPACE}]', '', 'g') <> '')"""
+
+
+_FITS = f"{_width(_bare(_shown('substr(t, CAST(a + 1 AS INT), CAST(b - a AS INT))')))} <= 36"
+#: Balanced lines of texts (d, t), as balanced (d, start, stop, piece): sentences that fit share lines; longer ones go by clauses, and
+#: clauses that don't fit by tokens, numbers whole. No token of the test data is wider than a line, so cuts within one are left to the unit tests.
+BALANCED = (
+    _units("texts", "d", "t", PRIMARY_BREAKS)
+    + f""", by_par AS (SELECT d * 1000000 + par_idx AS d, start AS s0, piece AS t FROM pars),
+prim AS (SELECT p.d, u.start - s0 AS a, u.stop - s0 AS b, t FROM units u JOIN by_par p ON p.d = u.d * 1000000 + u.par_idx),
+sentences AS (SELECT *, {_FITS} AS fit FROM prim), long AS (SELECT * FROM sentences WHERE NOT fit),
+{_split("long", f"[^{SECONDARY_BREAKS}]*[{SECONDARY_BREAKS}]+|[^{SECONDARY_BREAKS}]+", "clauses")},
+judged AS (SELECT *, {_FITS} AS fit FROM clauses), wide AS (SELECT d, a, b, t FROM judged WHERE NOT fit),
+{_split("wide", "[\\x{4E00}-\\x{9FFF}]|[" + SPACE + "]+|[\\p{L}\\p{Nl}\\p{No}]+|[0-9]+(?:[.\\x02][0-9]+)*|.", "tokens")},
+{_pack("tokens", "packed")},
+inner_parts AS (SELECT d, g, a, b, t FROM judged WHERE fit UNION ALL SELECT p.d, w.g, p.a, p.b, w.t FROM packed p JOIN judged w ON w.d = p.d AND w.a = p.g WHERE NOT w.fit),
+outer_parts AS (SELECT d, -1 - sum(CASE WHEN fit THEN 0 ELSE 1 END) OVER (PARTITION BY d ORDER BY a) AS g, a, b, t, fit FROM sentences),
+all_parts AS (SELECT d, CAST(g AS BIGINT) AS g, a, b, t FROM inner_parts UNION ALL SELECT d, CAST(g AS BIGINT), a, b, t FROM outer_parts WHERE fit),
+{_pack("all_parts", "lines")},
+balanced AS (SELECT * FROM (SELECT d // 1000000 AS d, a + s0 AS start, b + s0 AS stop, {_bare(_shown("substr(t, CAST(a + 1 AS INT), CAST(b - a AS INT))"))} AS piece FROM lines JOIN by_par USING (d)) WHERE piece <> '')"""
+)
+NOTE_LINES = f"texts AS (SELECT deck_id * 1000 + slide_num AS d, notes AS t FROM slides WHERE notes IS NOT NULL), {BALANCED}, segs AS (SELECT d // 1000 AS deck_id, CAST(d % 1000 AS INT) AS slide_num, row_number() OVER (PARTITION BY d ORDER BY start) - 1 AS seg_idx, start, stop, piece FROM balanced)"
+BALANCED_CAPTIONS = CAPTIONS.replace(SEGS, f"{EVENTS}, {NOTE_LINES}")
+
+
 CUES = "cues AS (SELECT deck_id, row_number() OVER (PARTITION BY deck_id ORDER BY slide_num, seg_idx) - 1 AS cue_idx, start_ms + predicted_ms AS start_ms, end_ms + predicted_ms AS end_ms, text FROM captions JOIN starts USING (deck_id, slide_num))"
 PREDICTED = f"WITH RECURSIVE {CAPTIONS}, {STARTS}"
 SRT = f"{PREDICTED}, {CUES}, srt AS (SELECT deck_id, string_agg(CAST(cue_idx + 1 AS VARCHAR) || chr(10) || {_time('start_ms')} || ' --> ' || {_time('end_ms')} || chr(10) || text, chr(10) || chr(10) ORDER BY cue_idx) || chr(10) AS srt FROM cues GROUP BY deck_id)"
@@ -134,6 +181,10 @@ ORACLE_SQL: dict[str, str] = {
     "seg2_primary_units": f"WITH {_units('documents', 'doc_id', 'text', PRIMARY_BREAKS)} SELECT doc_id, CAST(start AS BIGINT) AS start_at, CAST(stop AS BIGINT) AS end_at, piece FROM units",
     "seg2_secondary_units": f"WITH {_units('documents', 'doc_id', 'text', SECONDARY_BREAKS)} SELECT doc_id, CAST(start AS BIGINT) AS start_at, CAST(stop AS BIGINT) AS end_at, piece FROM units",
     # alignment
+    "seg10_slide_lines": f"WITH RECURSIVE {SLIDES}, {NOTE_LINES} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(seg_idx AS BIGINT) AS seg_idx, piece AS text, CAST(start AS BIGINT) AS source_start, CAST(stop AS BIGINT) AS source_end FROM segs",
+    "seg10_balanced_lines": f"WITH RECURSIVE texts AS (SELECT doc_id AS d, text AS t FROM documents), {BALANCED} SELECT d AS doc_id, CAST(row_number() OVER (PARTITION BY d ORDER BY start) - 1 AS BIGINT) AS seg_idx, piece AS text, CAST(start AS BIGINT) AS source_start_offset, CAST(stop AS BIGINT) AS source_end_offset FROM balanced",
+    "aln8_balanced_captions": f"WITH RECURSIVE {BALANCED_CAPTIONS} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(seg_idx AS BIGINT) AS seg_idx, text, start_ms, CAST(end_ms AS BIGINT) AS end_ms, gap AS interpolated FROM captions",
+    "fid2_wide_lines": f"WITH RECURSIVE {PAIRS}, texts AS (SELECT doc_id AS d, processed AS t FROM pairs), {BALANCED} SELECT b.d AS doc_id, CAST(par_idx AS BIGINT) AS par_idx, CAST(count(*) AS BIGINT) AS lines FROM balanced b JOIN pars p ON p.d = b.d AND b.start >= p.start AND b.start < p.stop GROUP BY ALL HAVING count(*) > 1",
     "aln1_occurrences": "WITH t AS (SELECT doc_id, substr(text, 1, 2) AS p, string_split(text, '') AS c FROM documents), e AS (SELECT doc_id, p, unnest(c) AS a, unnest(list_append(c[2:], '')) AS b, generate_subscripts(c, 1) - 1 AS i FROM t WHERE p <> '') SELECT doc_id, CAST(i AS BIGINT) AS at FROM e WHERE (CASE WHEN length(p) = 1 THEN a ELSE a || b END) = p",
     "aln4_match_events": f"WITH RECURSIVE {HEARD}, {WALK} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(i - 1 AS BIGINT) AS ev_idx, hit AS source_start, CAST(m.offset_ms AS BIGINT) AS offset_ms FROM walk JOIN matched m USING (deck_id, slide_num) WHERE m.ev_idx = i - 1 AND hit IS NOT NULL",
     "aln5_overlaps": f"WITH {RAW} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(seg_idx AS BIGINT) AS seg_idx, CAST(raw_start AS BIGINT) AS raw_start, CAST(raw_end AS BIGINT) AS raw_end FROM raw",

@@ -169,6 +169,13 @@ def seg10_balanced_lines(spark, d):
     return segment.segments(_docs(spark, d), ["doc_id"], "text")
 
 
+@query
+def seg10_slide_lines(spark, d):
+    """Balanced lines of the notes of slides."""
+    lines = segment.segments(b.slides(spark, d).where("notes is not null"), KEY)
+    return lines.withColumnsRenamed({"source_start_offset": "source_start", "source_end_offset": "source_end"})
+
+
 @query
 def aln1_occurrences(spark, d):
     docs = _docs(spark, d)
