@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.errors import InvalidInput
@@ -37,46 +39,55 @@ def _standard(x: np.ndarray) -> np.ndarray:
     return x / sd if (sd := x.std()) > 1e-6 else x
 
 
-def find_offset(track: np.ndarray, clip: np.ndarray, predicted_s: float, rate: int = SAMPLE_RATE, search_s: float = SEARCH_S) -> float:
-    """Seconds at which clip fits track best, near predicted_s; that itself if the track is too short there."""
+def find_offset(track: np.ndarray, clip: np.ndarray, predicted_s: float, rate: int = SAMPLE_RATE, search_s: float = SEARCH_S, base: int = 0) -> float:
+    """Seconds at which clip fits track best, near predicted_s; that itself if the track is too short there. base: how many samples stand before what track has."""
     centre, reach = int(predicted_s * rate), int(search_s * rate)
     first = max(0, centre - reach)
-    part = track[first : min(len(track), centre + reach + len(clip))]
-    if not len(clip) or len(part) < len(clip):
+    heard = np.asarray(track[max(0, first - base) : max(0, centre + reach + len(clip) - base)], np.float64)
+    if not 0 < len(clip) <= len(heard):
         return predicted_s
-    size = 1 << (len(part) + len(clip) - 1).bit_length()
-    product = np.fft.rfft(_standard(part), size) * np.conj(np.fft.rfft(_standard(clip), size))
-    fit = np.fft.irfft(product, size)[: len(part) - len(clip) + 1]
-    return (first + int(np.argmax(fit))) / rate
+    # One transform each way; the clip alone needs its level taken off (see best_lags).
+    own, size = _standard(clip), 1 << (len(heard) + len(clip) - 1).bit_length()
+    fit = np.fft.irfft(np.fft.rfft(_standard(heard), size) * np.fft.rfft(own, size).conj(), size)
+    return (first + int(fit[: len(heard) - len(own) + 1].argmax())) / rate
 
 
-def measured_bounds(track: np.ndarray, clip: np.ndarray, predicted_s: float, rate: int = SAMPLE_RATE, anchor_s: float = ANCHOR_S, search_s: float = SEARCH_S) -> tuple[float, float]:
+def measured_bounds(track: np.ndarray, clip: np.ndarray, predicted_s: float, rate: int = SAMPLE_RATE, anchor_s: float = ANCHOR_S, search_s: float = SEARCH_S, base: int = 0) -> tuple[float, float]:
     """Start by the clip's first anchor_s seconds, end by its last, if it is twice as long; else by its length."""
     n, length = int(anchor_s * rate), len(clip) / rate
-    start = find_offset(track, clip[:n], predicted_s, rate, search_s)
+    start = find_offset(track, clip[:n], predicted_s, rate, search_s, base)
     if n and len(clip) > n and len(clip) >= 2 * n:
-        return start, find_offset(track, clip[-n:], start + length - anchor_s, rate, search_s) + anchor_s
+        return start, find_offset(track, clip[-n:], start + length - anchor_s, rate, search_s, base) + anchor_s
     return start, start + length
 
 
+def _cut_from_track(rows: DataFrame, tracks: DataFrame, first: Column, last: Column) -> DataFrame:
+    """rows with base and heard: the samples of their deck's track between two places. What goes to Python is as long as a search, not as a track."""
+    whole = tracks.select(F.col("deck_id").alias("of"), F.col("samples").alias("track"))
+    placed = rows.withColumn("base", F.greatest(first.cast("int"), F.lit(0))).withColumn("last", last.cast("int"))
+    return placed.join(whole, F.col("deck_id") == F.col("of")).withColumn("heard", F.slice("track", F.col("base") + 1, F.greatest(F.col("last") - F.col("base"), F.lit(0)))).drop("of", "track", "last")
+
+
 def locate(clips: DataFrame, tracks: DataFrame, rate: int = SAMPLE_RATE, anchor_s: float = ANCHOR_S, search_s: float = SEARCH_S, scale: float = 1.0, ends: bool = True) -> DataFrame:
     """deck_id, slide_num, start_s and end_s of each slide whose clip can be decoded.
 
     clips: deck_id, slide_num, predicted_s, samples. tracks: deck_id, samples. Predictions don't depend on what is measured,
-    so slides are independent; a task holds one deck's track and its clips in turn."""
+    so each slide is a row of its own, with the part of the track that it can stand in."""
+    # The start is within one search of the prediction, the end within another one of it.
+    at, reach = F.col("predicted_s") * rate, 2 * search_s * rate + 1
+    sound = clips.where("size(samples) > 0").select(*KEY, "predicted_s", "samples")
+    cut = _cut_from_track(sound, tracks, at - reach, at + F.size("samples") + reach)
 
-    def run(key, mine: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(whole):
-            track = np.asarray(whole["samples"].iloc[0], np.float32)
-            for c in mine.sort_values("slide_num").itertuples(index=False):
-                if c.samples is not None and len(c.samples):
-                    clip = np.asarray(c.samples, np.float32)
-                    a, b = measured_bounds(track, clip, c.predicted_s, rate, anchor_s, search_s) if ends else (find_offset(track, clip[: int(anchor_s * rate)], c.predicted_s, rate, search_s), np.nan)
-                    rows.append((*key, c.slide_num, a * scale, b * scale))
-        return pd.DataFrame(rows, columns=["deck_id", "slide_num", "start_s", "end_s"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for c in batch.itertuples(index=False):
+                clip, heard = np.asarray(c.samples, np.float32), np.asarray(c.heard, np.float32)
+                a, b = measured_bounds(heard, clip, c.predicted_s, rate, anchor_s, search_s, c.base) if ends else (find_offset(heard, clip[: int(anchor_s * rate)], c.predicted_s, rate, search_s, c.base), np.nan)
+                rows.append((c.deck_id, c.slide_num, a * scale, b * scale))
+            yield pd.DataFrame(rows, columns=["deck_id", "slide_num", "start_s", "end_s"])
 
-    return clips.groupBy("deck_id").cogroup(tracks.groupBy("deck_id")).applyInPandas(run, "deck_id bigint, slide_num int, start_s double, end_s double")
+    return cut.mapInPandas(run, "deck_id bigint, slide_num int, start_s double, end_s double")
 
 
 def locate_warnings(entries: DataFrame, clips: DataFrame) -> DataFrame:
@@ -93,7 +104,7 @@ def check_words(words: DataFrame, clips: DataFrame, tracks: DataFrame, rate: int
     """Where sampled words really are in the track, against their place by the slide's start and scale.
 
     words: deck_id, slide_num, ev_idx, text, offset_s, duration_s, start_s, scale. Words at the very start of a slide and
-    those with too little sound around them are left out. A deck's track is in one task; its words take their turn."""
+    those with too little sound around them are left out. Each word goes to Python with the part of the track around it."""
     sound = clips.select(*KEY, "samples")
     joined = words.where("offset_s >= 0.05").join(sound, KEY)
     begin = F.greatest(F.lit(0.0), F.col("offset_s") - LEAD_IN_S)
@@ -102,21 +113,22 @@ def check_words(words: DataFrame, clips: DataFrame, tracks: DataFrame, rate: int
     cut = joined.withColumn("begin_s", begin).withColumn("own_s", F.size("samples") / rate).withColumn("part", F.slice("samples", at + 1, F.greatest(end - at, F.lit(0))))
     cut = cut.where(F.size("part") >= int(LEAST_SOUND_S * rate)).drop("samples")
 
-    def run(key, mine: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(whole):
-            track = np.asarray(whole["samples"].iloc[0], np.float32)
-            for w in mine.sort_values(["slide_num", "ev_idx"]).itertuples(index=False):
-                begins = find_offset(track, np.asarray(w.part, np.float32), w.start_s + w.begin_s, rate, search_s)
+    place = (F.col("start_s") + F.col("begin_s")) * rate
+    reach = search_s * rate + 1
+    heard = _cut_from_track(cut, tracks, place - reach, place + reach + F.size("part"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for w in batch.itertuples(index=False):
+                begins = find_offset(np.asarray(w.heard, np.float32), np.asarray(w.part, np.float32), w.start_s + w.begin_s, rate, search_s, w.base)
                 measured = begins + w.offset_s - w.begin_s
                 delta, predicted = measured - (w.start_s + w.offset_s), w.start_s + w.offset_s * w.scale
-                rows.append((*key, w.slide_num, w.ev_idx, w.text, w.offset_s, w.offset_s / w.own_s if w.own_s > 1e-6 else 0.0, delta, 1 + delta / w.offset_s, measured - predicted, predicted, measured))
-        return pd.DataFrame(rows, columns=["deck_id", *WORD_COLUMNS])
+                rows.append((w.deck_id, w.slide_num, w.ev_idx, w.text, w.offset_s, w.offset_s / w.own_s if w.own_s > 1e-6 else 0.0, delta, 1 + delta / w.offset_s, measured - predicted, predicted, measured))
+            yield pd.DataFrame(rows, columns=["deck_id", *WORD_COLUMNS])
 
     schema = "deck_id bigint, slide_num int, ev_idx int, text string, " + ", ".join(f"{c} double" for c in WORD_COLUMNS[3:])
-    # Columns of their own, as both sides may come from one table.
-    mine, whole = (df.toDF(*df.columns).groupBy("deck_id") for df in (cut, tracks))
-    return mine.cogroup(whole).applyInPandas(run, schema)
+    return heard.mapInPandas(run, schema)
 
 
 def word_report(checked: DataFrame) -> DataFrame:

@@ -161,6 +161,17 @@ TOTALS = "totals AS (SELECT deck_id, CAST(sum(duration_ms) AS BIGINT) AS total_m
 #: Documents and a rewrite of them that puts a stop before each line break, and in every third one changes a word.
 PAIRS = r"pairs AS (SELECT doc_id, text AS original, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(replace(text, chr(10), '.' || chr(10)), '([a-z])([a-z])', '\1' || chr(10) || '\2') ELSE replace(text, chr(10), '!' || chr(10)) END AS processed FROM documents)"
 
+#: Ten vectors are a deck's track, each of them a slide's clip; 64 samples are a second.
+TRACKS = "clips AS (SELECT vec_id // 10 AS deck_id, vec_id % 10 + 1 AS slide_num, embedding AS samples FROM embeddings), tracks AS (SELECT deck_id, flatten(list(samples ORDER BY slide_num)) AS track FROM clips GROUP BY deck_id)"
+
+
+def _found(source: str, name: str) -> str:
+    """CTE name: source (with track, clip and centre) with found, the sample within 128 of centre at which clip, its mean taken off, fits track best."""
+    return f"""{name}_c AS (SELECT *, list_transform(clip, lambda x: CAST(x AS DOUBLE) - list_avg(clip)) AS c, greatest(0, centre - 128) AS f FROM {source}),
+{name}1 AS (SELECT *, list_transform(range(f, least(len(track), centre + 128 + len(clip)) - len(clip) + 1), lambda l: list_dot_product(list_transform(track[l + 1:l + len(clip)], lambda v: CAST(v AS DOUBLE)), c)) AS fit FROM {name}_c),
+{name} AS (SELECT * EXCLUDE (c, f, fit), f + list_position(fit, list_max(fit)) - 1 AS found FROM {name}1)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     # text
     "txt1_char_width": f"SELECT DISTINCT c AS ch, CAST({_width('c')} AS BIGINT) AS width, regexp_matches(c, '^[{WIDE}]$') AS wide, regexp_matches(c, '^[\\x{{4E00}}-\\x{{9FFF}}]$') AS cjk FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> ''",
@@ -241,6 +252,8 @@ ORACLE_SQL: dict[str, str] = {
     # documents written and read
     "src2_titles": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), f AS (SELECT doc_id, i, {_strip('s')} AS s FROM l) SELECT doc_id, arg_min(s, i) AS title FROM f WHERE s <> '' AND lower(s) <> 'click to add title' GROUP BY doc_id",
     "src3_notes": f"SELECT doc_id, nullif({_strip('string_agg(p, chr(10) ORDER BY i)')}, '') AS notes FROM (SELECT doc_id, {_strip('s')} AS p, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) GROUP BY doc_id",
+    "aud4_locate": f"WITH {TRACKS}, s0 AS (SELECT c.*, track, samples[1:16] AS clip, CAST(floor((slide_num - 1) * CAST(1.05 AS DOUBLE) * 64) AS BIGINT) AS centre FROM clips c JOIN tracks USING (deck_id)), {_found('s0', 's')}, e0 AS (SELECT * REPLACE (samples[49:64] AS clip, found + 48 AS centre), found AS start FROM s), {_found('(SELECT * EXCLUDE (found) FROM e0)', 'e')} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, round(start / 64, 6) AS start_s, round((found + 16) / 64, 6) AS end_s FROM e",
+    "aud5_word_check": f"WITH {TRACKS}, w AS (SELECT c.*, track, ev_idx, ev_idx / 8 AS o, greatest(CAST(0 AS DOUBLE), ev_idx / 8 - CAST(0.2 AS DOUBLE)) AS b, (slide_num - 1) * CAST(1.01 AS DOUBLE) AS s FROM clips c JOIN tracks USING (deck_id), unnest(range(1, 8)) AS t(ev_idx)), p0 AS (SELECT *, samples[CAST(floor(b * 64) AS INT) + 1:64] AS clip, CAST(floor((s + b) * 64) AS BIGINT) AS centre FROM w), {_found('(SELECT * FROM p0 WHERE len(clip) >= 32)', 'p')}, m AS (SELECT *, found / 64 + o - b AS measured FROM p) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(ev_idx AS BIGINT) AS ev_idx, round(measured - (s + o), 6) AS naive_delta, round(1 + (measured - (s + o)) / o, 6) AS implied_scale, round(measured, 6) AS measured_s FROM m",
     "aud4_warnings": f"WITH {ENTRIES} SELECT DISTINCT deck_id, CAST(slide_num AS BIGINT) AS slide_num, 'not_located' AS code FROM entries WHERE audio_file IS NULL",
     "ext9_insertion": f"WITH {ENTRIES}, a AS (SELECT deck_id, slide_num, arg_max(audio_file, entry_idx) AS audio_file FROM entries WHERE audio_file IS NOT NULL GROUP BY ALL) SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, audio_file, CASE WHEN slide_num % 3 = 0 THEN 'audio file not found' END AS reason FROM a UNION ALL SELECT deck_id, CAST(max(slide_num) + 100 AS BIGINT), 'extra.mp3', 'slide not found' FROM a GROUP BY deck_id",
     "snk4_subtitle_files": f"{SRT} SELECT c_custkey AS deck_id, coalesce(srt, '') AS srt FROM (SELECT DISTINCT c_custkey FROM customer) LEFT JOIN srt ON srt.deck_id = c_custkey",
