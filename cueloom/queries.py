@@ -604,8 +604,8 @@ def fid1_content_changed(spark, d):
 
 @query
 def fid1_content_changes(spark, d):
-    turns = b.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("text").alias("original"), F.replace("text", F.lit(" the "), F.lit(" a ")).alias("processed"))
-    return fidelity.content_changes(turns)
+    pairs = _docs(spark, d).select("doc_id", F.col("text").alias("original"), F.replace("text", F.lit(" the "), F.lit(" a ")).alias("processed"))
+    return fidelity.content_changes(pairs)
 
 
 @query
