@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before it kept, and returns a DataFrame. Every stage
 is written as Parquet to the shared folder and read again before the next one. All but the last return rows with the
 columns of documents; the last one returns a row for each document that it wrote.
+
+Cases, for every stage: columns of any name and type beside doc_id, text and source are passed through; a null text counts
+as an empty one; rows with one id, or without, are rows of their own; of rows that are equal in all columns near-dedup keeps
+one; which of several near copies stays follows from ids, then from a hash of all columns, so reruns agree; an empty table
+gives an empty one. The mix may take a row twice, so token files can have two documents with one id.
 """
 
 from __future__ import annotations
