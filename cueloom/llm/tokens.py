@@ -57,6 +57,8 @@ SPLITTERS = [
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+LETTERS = re.compile("[A-Za-z]*[.,;:!?]?")
+MARKS = (b".", b",", b";", b":", b"!", b"?")
 PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
@@ -79,14 +81,22 @@ class Pieces(dict):
     """The ids of each piece between white space."""
 
     def __init__(self, encode: Callable[[str], bytes], words: Words, added: list[str]):
-        self.encode, self.words, self.added = encode, words, added
+        self.encode, self.words = encode, words
+        # Within letters and a mark behind them no added token can stand, if each has another sign.
+        self.letters = all(not LETTERS.fullmatch(t) for t in added)
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
 
     def __missing__(self, piece: bytes) -> bytes:
-        s = piece.decode("utf-8", "replace")
-        if PLAIN.fullmatch(s) and not any(t in s for t in self.added):
-            ids = b"".join([self.words[w] for w in PLAIN_WORDS.findall(s.lower())])
+        if self.letters and piece.isalpha():  # of bytes: ASCII letters
+            ids = self.words[piece.decode("ascii").lower()]
+        elif self.letters and piece[-1:] in MARKS and piece[:-1].isalpha():
+            ids = self.words[piece[:-1].decode("ascii").lower()] + self.words[chr(piece[-1])]
         else:
-            ids = self.encode(s)
+            s = piece.decode("utf-8", "replace")
+            if PLAIN.fullmatch(s) and not self.added.search(s):
+                ids = b"".join([self.words[w] for w in PLAIN_WORDS.findall(s.lower())])
+            else:
+                ids = self.encode(s)
         self[piece] = ids
         return ids
 
