@@ -154,6 +154,13 @@ NOTE_LINES = f"texts AS (SELECT deck_id * 1000 + slide_num AS d, notes AS t FROM
 BALANCED_CAPTIONS = CAPTIONS.replace(SEGS, f"{EVENTS}, {NOTE_LINES}")
 
 
+#: The whole way: events of the notes, found in what is shown (an override or the notes) by the whole rule, and balanced lines of it.
+_SHOWN = ", shown AS (SELECT deck_id, slide_num, coalesce(nullif(subtitle_text, ''), notes) AS notes FROM slides)"
+_FOUND = "found AS MATERIALIZED (SELECT w.deck_id, w.slide_num, m.ev_idx, hit AS a, hit + 1 AS b, m.offset_ms, m.duration_ms FROM walk w JOIN matched m ON m.deck_id = w.deck_id AND m.slide_num = w.slide_num AND m.ev_idx = w.i - 1 WHERE hit IS NOT NULL)"
+_SHOWN_LINES = NOTE_LINES.replace("FROM slides WHERE notes IS NOT NULL", "FROM shown WHERE notes IS NOT NULL AND (deck_id, slide_num) IN (SELECT deck_id, slide_num FROM matched)")
+SUBTITLES = CAPTIONS.replace("matched m ", "found m ").replace(SEGS, f"{EVENTS}{_SHOWN}{HEARD.removeprefix(EVENTS).replace('JOIN slides', 'JOIN shown')}, {WALK}, {_FOUND}, {_SHOWN_LINES}")
+
+
 CUES = "cues AS (SELECT deck_id, row_number() OVER (PARTITION BY deck_id ORDER BY slide_num, seg_idx) - 1 AS cue_idx, start_ms + predicted_ms AS start_ms, end_ms + predicted_ms AS end_ms, text FROM captions JOIN starts USING (deck_id, slide_num))"
 PREDICTED = f"WITH RECURSIVE {CAPTIONS}, {STARTS}"
 SRT = f"{PREDICTED}, {CUES}, srt AS (SELECT deck_id, string_agg(CAST(cue_idx + 1 AS VARCHAR) || chr(10) || {_time('start_ms')} || ' --> ' || {_time('end_ms')} || chr(10) || text, chr(10) || chr(10) ORDER BY cue_idx) || chr(10) AS srt FROM cues GROUP BY deck_id)"
@@ -219,6 +226,7 @@ ORACLE_SQL: dict[str, str] = {
     "tl3b_inferred_scale": f"WITH {SLIDES}, {SCALES} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, round(CASE WHEN dp > 0 THEN dm / dp END, 9) AS inferred FROM ahead",
     "tl3c_scales": f"WITH {SLIDES}, {SCALES} SELECT deck_id, CAST(slide_num AS BIGINT) AS slide_num, CAST(start_ms AS BIGINT) AS start_ms, round(scale, 9) AS scale, code FROM placed",
     "tl3_measured_captions": f"WITH RECURSIVE {CAPTIONS}, {SCALES} SELECT c.deck_id, CAST(c.slide_num AS BIGINT) AS slide_num, CAST(seg_idx AS BIGINT) AS seg_idx, text, CAST(p.start_ms + round_even(c.start_ms * scale, 0) AS BIGINT) AS start_ms, CAST(p.start_ms + round_even(c.end_ms * scale, 0) AS BIGINT) AS end_ms FROM captions c JOIN placed p ON p.deck_id = c.deck_id AND p.slide_num = c.slide_num",
+    "tl3_subtitles": f"WITH RECURSIVE {SUBTITLES}, {SCALES} SELECT c.deck_id, CAST(c.slide_num AS BIGINT) AS slide_num, CAST(seg_idx AS BIGINT) AS seg_idx, text, CAST(p.start_ms + round_even(c.start_ms * scale, 0) AS BIGINT) AS start_ms, CAST(p.start_ms + round_even(c.end_ms * scale, 0) AS BIGINT) AS end_ms FROM captions c JOIN placed p ON p.deck_id = c.deck_id AND p.slide_num = c.slide_num",
     "tl3_warnings": f"WITH RECURSIVE {CAPTIONS}, {SCALES} SELECT DISTINCT p.deck_id, CAST(p.slide_num AS BIGINT) AS slide_num, code FROM placed p JOIN captions c ON p.deck_id = c.deck_id AND p.slide_num = c.slide_num WHERE code IS NOT NULL",
     # signals
     "aud1_standardize": "WITH v AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT vec_id, avg(v) AS a, stddev_pop(v) AS s FROM v GROUP BY vec_id) SELECT vec_id, CAST(i - 1 AS BIGINT) AS i, round((v - a) / CASE WHEN s > 1e-6 THEN s ELSE 1.0 END, 5) AS z FROM v JOIN m USING (vec_id)",
@@ -271,5 +279,6 @@ ORACLE_SQL: dict[str, str] = {
     "fid1_content_changed": f"WITH {PAIRS} SELECT doc_id, {_content('original')} <> {_content('processed')} AS changed FROM pairs",
     "fid3_split_words": f"WITH {PAIRS}, l AS (SELECT doc_id, original, unnest(string_split(processed, chr(10))) AS s, generate_subscripts(string_split(processed, chr(10)), 1) AS n FROM pairs), f AS (SELECT * FROM l WHERE {_strip('s')} <> ''), j AS (SELECT doc_id, original, n, s, lead(n) OVER w AS nn, lead(s) OVER w AS t FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY n)), x AS (SELECT *, regexp_extract(s, '[A-Za-z0-9]+$') || regexp_extract(t, '^[A-Za-z0-9]+') AS word FROM j WHERE regexp_matches(s, '[A-Za-z]$') AND regexp_matches(t, '^[A-Za-z]')) SELECT doc_id, CAST(n AS BIGINT) AS line_no, CAST(nn AS BIGINT) AS next_no, word FROM x WHERE contains(original, word)",
     "fid4_block_counts": f"WITH {PAIRS}, b AS (SELECT doc_id, len(list_filter(regexp_split_to_array(replace(original, chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: {_strip('x')} <> '')) AS was, len(list_filter(regexp_split_to_array(processed, '\\n\\s*\\n'), lambda x: {_strip('x')} <> '')) AS now FROM pairs) SELECT doc_id, CAST(was AS BIGINT) AS was, CAST(now AS BIGINT) AS now, was <> now AS differs FROM b",
+    "fid4_merged_blocks": f"WITH RECURSIVE p AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS original, regexp_replace(text, '^([^\\n]*\\n[^\\n]*)\\n', '\\1' || chr(10) || chr(10)) AS processed FROM documents), b AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(original, '\\n\\s*\\n'), lambda x: {_strip('x')} <> ''), lambda x: {_content('x')}) AS o, list_transform(list_filter(regexp_split_to_array(processed, '\\n\\s*\\n'), lambda x: {_strip('x')} <> ''), lambda x: {_content('x')}) AS q FROM p), d AS (SELECT *, array_to_string(o, '') AS whole, list_transform(range(0, len(o) + 1), lambda i: coalesce(list_sum(list_transform(o[1:i], lambda x: length(x))), 0)) AS e FROM b WHERE len(o) <> len(q)), walk AS (SELECT doc_id, CAST(-1 AS BIGINT) AS k, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS n FROM d UNION ALL SELECT doc_id, k + 1, pos + m, m FROM (SELECT doc_id, k, pos, CAST(CASE WHEN block = '' THEN 0 WHEN same IS NOT NULL AND substr(whole, CAST(e[pos + 1] + 1 AS INT), length(block)) = block THEN same ELSE coalesce(longer, len(o) - pos) END AS BIGINT) AS m FROM (SELECT w.doc_id, k, pos, o, e, whole, q[k + 2] AS block, list_min(list_filter(range(1, len(o) - pos + 1), lambda n: e[pos + n + 1] - e[pos + 1] = length(q[k + 2]))) AS same, list_min(list_filter(range(1, len(o) - pos + 1), lambda n: e[pos + n + 1] - e[pos + 1] > length(q[k + 2]))) AS longer FROM walk w JOIN d ON d.doc_id = w.doc_id WHERE k + 1 < len(q)))) SELECT doc_id, k AS block, n AS merged FROM walk WHERE n > 1",
     "fid5_summary": f"WITH {PAIRS} SELECT CAST(count(*) AS BIGINT) AS findings, CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS BIGINT) AS exit_code FROM pairs WHERE {_content('original')} <> {_content('processed')}",
 }
