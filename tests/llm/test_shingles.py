@@ -10,9 +10,9 @@ from cueloom.llm import shingles
 
 
 def kept(data):
-    """Which rows of data stay, by comparing all pairs; their ids differ."""
-    least = {min((data[j][0] is None, data[j][0] or 0) for j in c) for c in brute.by_similarity(data)}
-    return sorted(least)
+    """Which rows of data stay, by comparing all pairs."""
+    components = {id(c): c for c in brute.by_similarity(data)}.values()
+    return sorted(min((data[j][0] is None, data[j][0] or 0) for j in c) for c in components)
 
 
 def got(spark, data):
@@ -20,7 +20,7 @@ def got(spark, data):
 
 
 def test_as_all_pairs(spark, sf, monkeypatch):
-    data = [(i + 1000, t) for i, t in corpus(spark, sf)] + [(1, None), (2, ""), (3, "two words"), (4, "Two  WORDS"), (None, "no id at all but some words")]
+    data = [(i + 1000, t) for i, t in corpus(spark, sf)] + [(1, None), (2, ""), (3, "two words"), (4, "Two  WORDS"), (None, "no id at all but some words"), (None, "and another one without any id")]
     assert got(spark, data) == kept(data)
     monkeypatch.setattr(shingles, "PART", 2)
     assert got(spark, data) == kept(data)
