@@ -1,13 +1,16 @@
-"""Where a clip of sound stands in a track: by cross-correlation, as a lag join in SQL or with numpy's FFT."""
+"""Where a clip of sound stands in a track: by cross-correlation, of the samples of a few blocks or with numpy's FFT."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cueloom.errors import InvalidInput
 
@@ -22,16 +25,59 @@ def standardized(samples: DataFrame, key: list[str], value: str = "v") -> DataFr
     return samples.withColumn(value, (F.col(value) - F.avg(value).over(w)) / F.when(sd > 1e-6, sd).otherwise(1.0))
 
 
+#: Samples of a track that go to a clip together.
+BLOCK = 256
+
+
 def best_lags(track: DataFrame, clips: DataFrame, most_shift: int) -> DataFrame:
     """clip_id and the position at which each clip fits best, within most_shift samples of its predicted one; of equals the first.
 
-    track: pos, v. clips: clip_id, predicted, i, v. Standardizing the clip alone decides: with its mean at zero, the track's scale and level don't move the maximum."""
-    mean = Window.partitionBy("clip_id")
-    centred = clips.withColumn("c", F.col("v") - F.avg("v").over(mean)).withColumn("n", F.count("*").over(mean))
-    lags = centred.select("clip_id", "i", "c", "n", "predicted", F.explode(F.sequence(F.greatest(F.col("predicted") - most_shift, F.lit(0)), F.col("predicted") + most_shift)).alias("lag"))
-    scored = lags.join(track.select("pos", F.col("v").alias("s")), F.col("pos") == F.col("lag") + F.col("i")).groupBy("clip_id", "lag", "n").agg(F.sum(F.col("s") * F.col("c")).alias("score"), F.count("*").alias("m"))
+    track: pos, v. clips: clip_id, predicted, i, v. Standardizing the clip alone decides: with its mean at zero, the track's scale and level don't move the maximum.
+    A clip meets the blocks of the track that it can stand in, as arrays: what is sent grows with samples, not with samples times lags."""
+    block = lambda at: F.floor(at / BLOCK)
+    blocks = track.groupBy(block(F.col("pos")).alias("block")).agg(F.collect_list(F.struct(F.col("pos").cast("bigint"), F.col("v").cast("double"))).alias("heard"))
+    first, last = F.greatest(F.col("predicted") - most_shift, F.lit(0)), F.col("predicted") + most_shift
+    own = clips.groupBy("clip_id").agg(F.min("predicted").cast("bigint").alias("predicted"), F.collect_list(F.struct(F.col("i").cast("bigint"), F.col("v").cast("double"))).alias("own"), F.min("i").alias("low"), F.max("i").alias("high"))
+    asked = own.where(last >= first).select("clip_id", "predicted", "own", F.explode(F.sequence(block(first + F.col("low")), block(last + F.col("high")))).alias("block"))
+    met = asked.join(blocks, "block").groupBy("clip_id").agg(F.any_value("predicted").alias("predicted"), F.any_value("own").alias("own"), F.flatten(F.collect_list("heard")).alias("heard"))
+    schema = StructType([clips.schema["clip_id"], *StructType.fromDDL("lag bigint").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lags = [_best_lag(*c, most_shift) for c in zip(batch.column(1).to_pylist(), _pairs(batch.column(2)), _pairs(batch.column(3)), strict=True)]
+            found = pa.array(lags, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], schema.names).filter(found.is_valid())
+
+    return met.mapInArrow(run, schema)
+
+
+def _pairs(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Place and value of each pair, a row at a time; a value that is null adds nothing."""
+    at, values = column.flatten().flatten()
+    at, values = at.to_numpy(zero_copy_only=False), values.to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+    yield from ((at[a:b], values[a:b]) for a, b in pairwise(ends))
+
+
+def _solid(x: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(x), 0.0, x)
+
+
+def _best_lag(predicted: int, clip: tuple[np.ndarray, np.ndarray], heard: tuple[np.ndarray, np.ndarray], most_shift: int) -> int | None:
+    (i, v), (pos, s) = clip, heard
+    first, n_lags = max(predicted - most_shift, 0), predicted + most_shift + 1 - max(predicted - most_shift, 0)
+    low, span = i.min(), int(i.max() - i.min()) + 1
+    own = np.bincount(i - low, _solid(v - np.mean(v[~np.isnan(v)])) if not np.isnan(v).all() else np.zeros(len(v)), span)
+    within = (pos >= first + low) & (pos < first + low + span + n_lags - 1)
+    at, s = pos[within] - first - low, s[within]
+    size = span + n_lags - 1
+    # Only places where the whole clip has a track count.
+    whole = np.flatnonzero(np.rint(np.correlate(np.bincount(at, minlength=size).astype(float), np.bincount(i - low, minlength=span).astype(float))) == len(i))
+    if not len(whole):
+        return None
     # Sums in another order differ in their last digits.
-    return scored.where("m = n").groupBy("clip_id").agg(F.max_by("lag", F.struct(F.round("score", 6), -F.col("lag"))).alias("lag"))
+    score = np.round(np.correlate(np.bincount(at, _solid(s), size), own), 6)
+    return first + int(whole[score[whole].argmax()])
 
 
 def _standard(x: np.ndarray) -> np.ndarray:
