@@ -44,6 +44,10 @@ def _segments(spark, d):
     return segment.sentence_segments(b.slides(spark, d), KEY)
 
 
+def _spans(spark, d):
+    return _segments(spark, d).drop("text")
+
+
 def _cues(spark, d):
     order = Window.partitionBy("deck_id").orderBy("slide_num", "seg_idx")
     timed = captions.predictive(b.slides(spark, d), b.matched(spark, d))
@@ -199,14 +203,12 @@ def aln5_overlaps(spark, d):
 
 @query
 def aln6_interpolate(spark, d):
-    m = b.matched(spark, d)
-    return align.interpolate(align.overlaps(_segments(spark, d), m), m).select(*KEY, "seg_idx", "start_ms", "end_ms", "interpolated")
+    return align.filled(align.met(_spans(spark, d), b.matched(spark, d))).select(*KEY, "seg_idx", "start_ms", "end_ms", "interpolated")
 
 
 @query
 def aln7_clamp(spark, d):
-    m = b.matched(spark, d)
-    return align.clamp(align.interpolate(align.overlaps(_segments(spark, d), m), m)).select(*KEY, "seg_idx", "start_ms", "end_ms")
+    return align.clamp(align.filled(align.met(_spans(spark, d), b.matched(spark, d)))).select(*KEY, "seg_idx", "start_ms", "end_ms")
 
 
 @query

@@ -5,7 +5,7 @@ A conversation is a deck and a turn a slide; system turns are silent. Each voice
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["deck_id", "slide_num"]
@@ -25,25 +25,27 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voiced characters of the notes that are heard, with their place and time."""
-    each = slides(spark, sf_dir).where("notes is not null").select(*KEY, F.posexplode(F.split("notes", "")).alias("pos", "text"))
+def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voiced characters of the notes that are heard, numbered, with their place and time.
+
+    They are numbered while a slide is one row, which is also dealt out as one: what follows by slide sends no characters."""
+    each = lambda t: F.transform(F.split(t, ""), lambda c, i: F.struct(i.alias("pos"), c.alias("text")))
+    spoken = slides(spark, sf_dir).where("notes is not null").groupBy(*KEY).agg(F.collect_list("notes").alias("notes"))
+    # A slide that is there more than once has its characters by place.
+    whole = F.when(F.size("notes") == 1, each(F.col("notes")[0])).otherwise(F.array_sort(F.flatten(F.transform("notes", each))))
     fifth = F.col("deck_id") % 5 == 0
-    heard = each.where(~F.col("text").isin("", " ", "\n", ".", ",", "!", "?")).where(~(fifth & F.col("pos").between(40, 79)))
-    at = F.col("pos") * CHAR_MS - F.when(fifth & (F.col("pos") >= 80), 40 * CHAR_MS).otherwise(0)
-    return heard.select(*KEY, "pos", "text", at.cast("bigint").alias("offset_ms"), F.lit(VOICED_MS).cast("bigint").alias("duration_ms"))
+    voiced = F.filter(whole, lambda c: ~c["text"].isin("", " ", "\n", ".", ",", "!", "?") & ~(fifth & c["pos"].between(40, 79)))
+    at = F.col("c.pos") * CHAR_MS - F.when(fifth & (F.col("c.pos") >= 80), 40 * CHAR_MS).otherwise(0)
+    return spoken.select(*KEY, F.posexplode(voiced).alias("ev_idx", "c")).select(*KEY, "ev_idx", F.col("c.pos").alias("pos"), F.col("c.text").alias("text"), at.cast("bigint").alias("offset_ms"), F.lit(VOICED_MS).cast("bigint").alias("duration_ms"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy(*KEY).orderBy("pos")
-    return characters(spark, sf_dir).withColumn("ev_idx", (F.row_number().over(order) - 1).cast("int")).drop("pos")
+    return heard(spark, sf_dir).select(*KEY, "text", "offset_ms", "duration_ms", "ev_idx")
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events with the places that they were made from."""
-    order = Window.partitionBy(*KEY).orderBy("pos")
-    c = characters(spark, sf_dir).withColumn("ev_idx", (F.row_number().over(order) - 1).cast("int"))
-    return c.select(*KEY, "ev_idx", F.col("pos").alias("source_start_offset"), (F.col("pos") + 1).alias("source_end_offset"), "offset_ms", "duration_ms")
+    return heard(spark, sf_dir).select(*KEY, "ev_idx", F.col("pos").alias("source_start_offset"), (F.col("pos") + 1).alias("source_end_offset"), "offset_ms", "duration_ms")
 
 
 def bounds(starts: DataFrame) -> DataFrame:

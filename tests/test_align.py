@@ -187,3 +187,42 @@ def test_lookups(spark):
         merge.require_notes(slides)
     with pytest.raises(InvalidInput):
         merge.require_selected(slides, spark.createDataFrame([(1, 9)], "deck_id long, slide_num int"))
+
+
+def test_gaps_are_filled_from_the_events_behind_them(spark):
+    """Against the rule told segment by segment, with the events put in order once: nothing is summed over what is left of a slide at each row."""
+    import random
+
+    r = random.Random(9)
+    segs, events, want = [], [], {}
+    for deck in range(40):
+        at, mine, said = 0, [], []
+        for i in range(r.randint(1, 12)):
+            a = at + r.randint(0, 2)
+            at = a + r.randint(1, 4)
+            mine.append((i, a, at))
+        for k in range(r.randint(0, 6)):
+            a = r.randint(0, at)
+            said.append((k, a, a + r.randint(0, 3), r.randint(0, 50), r.randint(1, 9)))
+        base = 0
+        for i, a, b in mine:
+            own = [(o, o + n) for _, x, y, o, n in said if any(a <= c < b for c in range(x, max(y, x + 1)))]
+            behind = [o for _, x, o in sorted((x, k, o) for k, x, _, o, _ in said if x >= b)]
+            start, end = (min(own)[0], max(e for _, e in own)) if own else (base, max(base, *behind[:1], 0))
+            want[deck, i] = (start, end, not own)
+            base = end
+        segs += [(deck, 1, i, a, b, "t") for i, a, b in mine]
+        events += [(deck, 1, *e) for e in said]
+    s, m = spark.createDataFrame(segs, SEG), spark.createDataFrame(events, MATCH)
+    for out in (align.filled(align.met(s, m)), align.interpolate(align.overlaps(s, m), m)):
+        assert {(x.deck_id, x.seg_idx): (x.start_ms, x.end_ms, x.interpolated) for x in out.collect()} == want
+        assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_characters_are_not_sent_again(spark, sf):
+    """Slides are dealt out as rows of text; their characters stay where they are."""
+    from cueloom.queries import QUERIES
+
+    plan = QUERIES["aln6_interpolate"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    # One of lines of text for segments, one of whole notes for events; none above where they come together.
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.index("Union") < plan.index("Exchange hashpartitioning")
