@@ -66,9 +66,10 @@ def subtitles(slides: DataFrame, entries: DataFrame, events: DataFrame, bounds:
     Captions show the override of a slide, if it has one, else its notes. They are lines balanced within width."""
     shown = slides.withColumn("notes", spoken_text())
     matched = align.match(shown, events)
-    lines = segment.segments(shown.where("notes is not null"), KEY, "notes", width).withColumnsRenamed({"source_start_offset": "start", "source_end_offset": "end"})
     # Slides without timed words have no captions.
-    timed = align.align(lines.join(events.select(*KEY).distinct(), KEY, "left_semi"), matched, gap_ms).select(*KEY, "seg_idx", "text", "start_ms", "end_ms")
+    told = shown.where("notes is not null").join(events.select(*KEY).distinct(), KEY, "left_semi")
+    lines = segment.segments(told, KEY, "notes", width).withColumnsRenamed({"source_start_offset": "start", "source_end_offset": "end"})
+    timed = align.align(lines, matched, gap_ms).select(*KEY, "seg_idx", "text", "start_ms", "end_ms")
     starts = timeline.predicted_starts(slides.select(*KEY, "audio_ms"))
     warnings = caption_warnings(slides, entries, events).unionByName(align.unmatched(events, matched))
     if bounds is None or bounds.isEmpty():

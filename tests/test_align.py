@@ -226,3 +226,23 @@ def test_characters_are_not_sent_again(spark, sf):
     plan = QUERIES["aln6_interpolate"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     # One of lines of text for segments, one of whole notes for events; none above where they come together.
     assert plan.count("Exchange hashpartitioning") == 2 and plan.index("Union") < plan.index("Exchange hashpartitioning")
+
+
+def test_places_are_not_compared_where_the_next_words_follow():
+    """The nearest place is taken at once if the following words are next to it; by the plain rule the same place."""
+    import random
+
+    r = random.Random(4)
+    for _ in range(300):
+        text = "".join(r.choices("aab İé", k=r.randint(0, 500)))
+        heard = [c for c in text if r.random() > 0.1] + r.choice([[], ["zz"], ["A"]])
+        words = [w for w in heard if w.strip()]
+        assert [s for s in align.walk(text, words) if s] == [(a, b) for _, a, b in plain_match(text, words)]
+    asked, whole = [], align.Places.span
+    text = "what is read here is read as it stands " * 20
+    try:
+        align.Places.span = lambda self, *a: asked.append(a) or whole(self, *a)
+        assert [a for a, _ in align.walk(text, [c for c in text if c != " "])] == [i for i, c in enumerate(text) if c != " "]
+    finally:
+        align.Places.span = whole
+    assert not asked
