@@ -43,7 +43,13 @@ def subtitle_files(timed: DataFrame) -> DataFrame:
 def balanced_captions(slides: DataFrame, matched: DataFrame, width: int = segment.DEFAULT_WIDTH) -> DataFrame:
     """As slide_captions, with lines balanced within a width."""
     lines = segment.segments(slides.where("notes is not null"), KEY, "notes", width)
-    return align.align(lines.withColumnsRenamed({"source_start_offset": "start", "source_end_offset": "end"}), matched)
+    return align.align(_dealt(lines), matched)
+
+
+def _dealt(lines: DataFrame) -> DataFrame:
+    """Lines as segments, dealt out by slide; events that are so, too, needn't be sent to them."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lines.withColumnsRenamed({"source_start_offset": "start", "source_end_offset": "end"}).repartition(n, *KEY)
 
 
 def subtitle_file_for_each(timed: DataFrame, decks: DataFrame) -> DataFrame:
@@ -68,8 +74,7 @@ def subtitles(slides: DataFrame, entries: DataFrame, events: DataFrame, bounds:
     matched = align.match(shown, events)
     # Slides without timed words have no captions.
     told = shown.where("notes is not null").join(events.select(*KEY).distinct(), KEY, "left_semi")
-    lines = segment.segments(told, KEY, "notes", width).withColumnsRenamed({"source_start_offset": "start", "source_end_offset": "end"})
-    timed = align.align(lines, matched, gap_ms).select(*KEY, "seg_idx", "text", "start_ms", "end_ms")
+    timed = align.align(_dealt(segment.segments(told, KEY, "notes", width)), matched, gap_ms).select(*KEY, "seg_idx", "text", "start_ms", "end_ms")
     starts = timeline.predicted_starts(slides.select(*KEY, "audio_ms"))
     warnings = caption_warnings(slides, entries, events).unionByName(align.unmatched(events, matched))
     if bounds is None or bounds.isEmpty():

@@ -28,9 +28,11 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voiced characters of the notes that are heard, numbered, with their place and time.
 
-    They are numbered while a slide is one row, which is also dealt out as one: what follows by slide sends no characters."""
+    They are numbered while a slide is one row, which is also dealt out as one: what follows by slide sends no characters.
+    The number of parts is told, as they grow a lot and shouldn't be put together by what they have as texts."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = lambda t: F.transform(F.split(t, ""), lambda c, i: F.struct(i.alias("pos"), c.alias("text")))
-    spoken = slides(spark, sf_dir).where("notes is not null").groupBy(*KEY).agg(F.collect_list("notes").alias("notes"))
+    spoken = slides(spark, sf_dir).where("notes is not null").repartition(n, *KEY).groupBy(*KEY).agg(F.collect_list("notes").alias("notes"))
     # A slide that is there more than once has its characters by place.
     whole = F.when(F.size("notes") == 1, each(F.col("notes")[0])).otherwise(F.array_sort(F.flatten(F.transform("notes", each))))
     fifth = F.col("deck_id") % 5 == 0

@@ -246,3 +246,11 @@ def test_places_are_not_compared_where_the_next_words_follow():
     finally:
         align.Places.span = whole
     assert not asked
+
+
+@pytest.mark.parametrize("name", ["aln8_balanced_captions", "aln4_match_events"])
+def test_events_stay_where_lines_and_notes_come_to_them(spark, sf, name):
+    from cueloom.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Union") < plan.index("Exchange hashpartitioning")
