@@ -80,9 +80,15 @@ def is_cjk(c: Column) -> Column:
     return F.rlike(c, F.lit(r"^[\x{4E00}-\x{9FFF}]$"))
 
 
+#: NEUTRAL with one look at most characters: Java keeps a table of single ones below 256, and all others come after one range begins.
+_MARKS = "，。、；：？！,.;:?!「」『』（）()'\"“”…—-"
+_LOW, _HIGH = ("".join(rf"\x{{{ord(c):X}}}" for c in sorted(SPACES + _MARKS) if (ord(c) < 256) == low) for low in (True, False))
+_NEUTRAL_RUN = rf"[{_LOW}[\x{{1680}}-\x{{FFFF}}&&[{_HIGH}]]]+"
+
+
 def content(s: Column) -> Column:
     """s without white space, punctuation, quotes, brackets and dashes."""
-    return _all(s, f"[{NEUTRAL}]")
+    return _all(s, _NEUTRAL_RUN)
 
 
 def preview(s: Column, most: int = 120) -> Column:
