@@ -73,8 +73,8 @@ def subtitles(slides: DataFrame, entries: DataFrame, events: DataFrame, bounds:
     shown = slides.withColumn("notes", spoken_text())
     matched = align.match(shown, events)
     # Slides without timed words have no captions.
-    told = shown.where("notes is not null").join(events.select(*KEY).distinct(), KEY, "left_semi")
-    timed = align.align(_dealt(segment.segments(told, KEY, "notes", width)), matched, gap_ms).select(*KEY, "seg_idx", "text", "start_ms", "end_ms")
+    lines = align.match_lines(shown, events, segment.Segmenter(width))
+    timed = align.clamp(align.filled(lines), gap_ms).select(*KEY, "seg_idx", "text", "start_ms", "end_ms")
     starts = timeline.predicted_starts(slides.select(*KEY, "audio_ms"))
     warnings = caption_warnings(slides, entries, events).unionByName(align.unmatched(events, matched))
     if bounds is None or bounds.isEmpty():

@@ -11,6 +11,7 @@ EVENT = "struct<text:string,offset_seconds:double,duration_seconds:double>"
 EVENTS = "deck_id bigint, slide_num int, ev_idx int, text string, offset_ms bigint, duration_ms bigint"
 SEGMENTS = "seg_idx int, text string, source_start_offset int, source_end_offset int"
 MATCHED = "deck_id bigint, slide_num int, ev_idx int, source_start_offset int, source_end_offset int, offset_ms bigint, duration_ms bigint"
+MET_LINES = "deck_id bigint, slide_num int, seg_idx int, start int, end int, text string, raw_start bigint, raw_end bigint, next_ms bigint"
 CAPTIONS = "deck_id bigint, slide_num int, seg_idx int, text string, start_ms bigint, end_ms bigint"
 BOUNDS = "deck_id bigint, slide_num int, start_ms bigint, end_ms bigint"
 WARNINGS = "deck_id bigint, slide_num int, code string, message string"

@@ -254,3 +254,35 @@ def test_events_stay_where_lines_and_notes_come_to_them(spark, sf, name):
 
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Union") < plan.index("Exchange hashpartitioning")
+
+
+def test_lines_are_met_where_their_events_are_matched(spark):
+    """The same as by both steps, with nulls, slides of one part only and words that are not there; and no event comes back."""
+    import random
+
+    from cueloom.operators import segment
+
+    r = random.Random(9)
+    slides, events = [(1, 1, None), (1, 2, "no events here."), (1, 3, ""), (2, 1, "İİİ x"), (2, 2, "One, two. Three four five six seven, eight nine ten.\n\n, eleven")], []
+    for deck in range(3, 40):
+        slides.append((deck, 1, "".join(r.choices(["ab ", "c", "。", ", ", "字", "\n", ". ", "word "], k=r.randint(0, 150)))))
+    for deck, n, notes in [*slides, (99, 1, "notes that are not there")]:
+        said = [w for w in (notes or "said").split() for w in (w[:2], w[2:]) if r.random() < 0.8]
+        for i, w in enumerate([] if n == 2 and deck == 1 else [*said, "zz", " "]):
+            events.append((deck, n, r.choice([w, w, w, w.lower(), None]), r.choice([i * 100, i * 100, r.randint(0, 900), None]), r.choice([50, 90, None]), i))
+    s = spark.createDataFrame(slides, "deck_id long, slide_num int, notes string")
+    e = spark.createDataFrame(events, "deck_id long, slide_num int, text string, offset_ms long, duration_ms long, ev_idx int")
+    lines = segment.segments(s.join(e.select("deck_id", "slide_num").distinct(), ["deck_id", "slide_num"], "left_semi"), ["deck_id", "slide_num"], max_width=20)
+    columns = ["deck_id", "slide_num", "seg_idx", "start", "end", "text", "raw_start", "raw_end", "next_ms"]
+    want = align.met(lines.withColumnsRenamed({"source_start_offset": "start", "source_end_offset": "end"}), align.match(s, e)).select(*columns)
+    got = align.match_lines(s, e, segment.Segmenter(20))
+    assert got.columns == columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.where("raw_start is null").count() > 9
+
+
+def test_whole_way_sends_no_events(spark, sf):
+    """Notes are dealt out twice, for their events and to meet them; what comes back from Python are lines."""
+    from cueloom.queries import QUERIES
+
+    plan = QUERIES["tl3_subtitles"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "sequence(source_start_offset" not in plan
