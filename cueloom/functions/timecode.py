@@ -18,7 +18,10 @@ def milliseconds(seconds: Column) -> Column:
 def timestamp(ms: Column) -> Column:
     ms = F.greatest(ms, F.lit(0)).cast("long")
     part = lambda unit: F.floor(ms / unit).cast("long")
-    return F.format_string("%02d:%02d:%02d,%03d", part(3_600_000), part(60_000) % 60, part(1000) % 60, ms % 1000)
+    digits = lambda n, k: F.right(F.concat(F.lit("0" * (k - 1)), n.cast("string")), F.lit(k))
+    hours = part(3_600_000)
+    shown = F.when(hours < 100, digits(hours, 2)).otherwise(hours.cast("string"))
+    return F.concat(shown, F.lit(":"), digits(part(60_000) % 60, 2), F.lit(":"), digits(part(1000) % 60, 2), F.lit(","), digits(ms % 1000, 3))
 
 
 def parse(line: Column, first: int = 1, pattern: str = TIME) -> Column:

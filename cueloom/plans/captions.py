@@ -9,26 +9,28 @@ from cueloom.operators import align, gaps, segment, signal, srt, timeline
 from cueloom.operators.merge import spoken_text
 
 KEY = ["deck_id", "slide_num"]
+#: Events with a place, as rows or told late.
+Matched = DataFrame | align.Told
 
 
-def slide_captions(slides: DataFrame, matched: DataFrame) -> DataFrame:
+def slide_captions(slides: DataFrame, matched: Matched) -> DataFrame:
     """Captions within each slide, one for each sentence unit of its notes."""
     return align.align(segment.sentence_segments(slides, KEY), matched)
 
 
-def predictive(slides: DataFrame, matched: DataFrame) -> DataFrame:
+def predictive(slides: DataFrame, matched: Matched) -> DataFrame:
     """Captions on the deck's predicted timeline."""
     return timeline.place(slide_captions(slides, matched), timeline.predicted_starts(slides.select(*KEY, "audio_ms")))
 
 
-def measured(slides: DataFrame, matched: DataFrame, bounds: DataFrame) -> tuple[DataFrame, DataFrame]:
+def measured(slides: DataFrame, matched: Matched, bounds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Captions on the measured timeline, and the warnings that go with them."""
     placed = timeline.scales(timeline.predicted_starts(slides.select(*KEY, "audio_ms")), bounds)
     captions = slide_captions(slides, matched)
     return timeline.place_measured(captions, placed), timeline.scale_warnings(captions, placed)
 
 
-def captions(slides: DataFrame, matched: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+def captions(slides: DataFrame, matched: Matched, bounds: DataFrame | None = None) -> DataFrame:
     """The measured timeline where bounds are given and have rows, else the predicted one."""
     if bounds is not None and not bounds.isEmpty():
         return measured(slides, matched, bounds)[0]
@@ -40,7 +42,7 @@ def subtitle_files(timed: DataFrame) -> DataFrame:
     return srt.format_srt(timed, ["deck_id"], ["slide_num", "seg_idx"])
 
 
-def balanced_captions(slides: DataFrame, matched: DataFrame, width: int = segment.DEFAULT_WIDTH) -> DataFrame:
+def balanced_captions(slides: DataFrame, matched: Matched, width: int = segment.DEFAULT_WIDTH) -> DataFrame:
     """As slide_captions, with lines balanced within a width."""
     lines = segment.segments(slides.where("notes is not null"), KEY, "notes", width)
     return align.align(_dealt(lines), matched)

@@ -73,7 +73,7 @@ def _pairs(spark, d):
 
 @query
 def predictive_captions(spark, d):
-    timed = captions.predictive(b.slides(spark, d), b.matched(spark, d))
+    timed = captions.predictive(b.slides(spark, d), b.told(spark, d))
     return timed.select(*KEY, "seg_idx", "text", timestamp(F.col("start_ms")).alias("start_at"), timestamp(F.col("end_ms")).alias("end_at"))
 
 

@@ -5,9 +5,14 @@ A conversation is a deck and a turn a slide; system turns are silent. Each voice
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cueloom.operators.align import LISTS, Told
+
 KEY = ["deck_id", "slide_num"]
 CHAR_MS, VOICED_MS = 200, 160
 
@@ -50,6 +55,38 @@ def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heard(spark, sf_dir).select(*KEY, "ev_idx", F.col("pos").alias("source_start_offset"), (F.col("pos") + 1).alias("source_end_offset"), "offset_ms", "duration_ms")
 
 
+#: Bytes that begin a voiced character: not those that go on with one, and none of these.
+_VOICED = ((np.arange(256) & 0xC0) != 0x80) & ~np.isin(np.arange(256), list(b" \n.,!?"))
+
+
+def _places(slides: pa.ListArray) -> pa.StructArray:
+    """Lists of the voiced characters of slides (deck_id, notes)."""
+    decks, notes = slides.flatten().flatten()
+    notes, n = notes.cast(pa.large_binary()), len(notes)
+    edges = np.frombuffer(notes.buffers()[1], np.int64)[notes.offset : notes.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(notes.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    count = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # characters before each byte
+    at = np.flatnonzero(_VOICED[data])
+    row = np.repeat(np.arange(n), np.diff(np.searchsorted(at, edges)))
+    pos = count[at] - count[edges[:-1]][row]
+    fifth = (decks.to_numpy() % 5 == 0)[row]
+    said = ~(fifth & (pos >= 40) & (pos < 80))
+    pos, fifth, row = pos[said], fifth[said], row[said]
+    # A slide that is there more than once has the characters of each.
+    some = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n))))
+    cuts = pa.array(some[np.concatenate(([0], np.cumsum(pc.list_value_length(slides).to_numpy())))], pa.int32())
+    lists = (pa.array(pos, pa.int32()), pa.array(pos + 1, pa.int32()), pa.array(pos * CHAR_MS - np.where(fifth & (pos >= 80), 40 * CHAR_MS, 0)), pa.array(np.full(len(pos), VOICED_MS)))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(cuts, x) for x in lists], LISTS)
+
+
+def told(spark: SparkSession, sf_dir: str) -> Told:
+    """What `matched` has, told from notes that are dealt out by slide: no character is a row, or leaves Python."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spoken = slides(spark, sf_dir).where("notes is not null").repartition(n, *KEY)
+    return Told(spoken.select(*KEY, F.struct("deck_id", "notes").alias("told")), _places)
+
+
 def bounds(starts: DataFrame) -> DataFrame:
     """Measured bounds: predictions 0.1 % slower, 300 ms of a gap before each slide; every fourth slide is not measured, and of every third one the end."""
     begin = F.floor(F.col("predicted_ms") * 1001 / 1000).cast("bigint") + 300 * F.col("slide_num")

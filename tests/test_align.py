@@ -286,3 +286,55 @@ def test_whole_way_sends_no_events(spark, sf):
 
     plan = QUERIES["tl3_subtitles"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "sequence(source_start_offset" not in plan
+
+
+def odd_events(seed):
+    """Segments and events of 60 slides: nulls, events of no length, and long ones over others."""
+    import random
+
+    r = random.Random(seed)
+    segs, events = [], []
+    for deck in range(60):
+        at = 0
+        for i in range(r.randint(0, 9)):
+            a = at + r.randint(0, 2)
+            at = a + r.randint(1, 4)
+            segs.append((deck, 1, i, a, at, "t"))
+        for k in range(r.randint(0, 12)):
+            a = r.randint(0, at)
+            events.append((deck, 1, k, a, a + r.choice([0, 1, 2, 9]), r.choice([None, *range(0, 900, 50)]), r.choice([None, 90, 90, 300])))
+    return segs, events
+
+
+def test_segments_are_timed_where_they_are_met(spark):
+    """By all events of a slide, one by one; then the same as by one step after another."""
+    segs, events = odd_events(5)
+    s, m = spark.createDataFrame(segs, SEG), spark.createDataFrame(events, MATCH)
+    want = set()
+    for deck, n, i, a, b, _ in segs:
+        mine = sorted((x, k, y, o, d) for e, _, k, x, y, o, d in events if e == deck)
+        over = [(o, None if o is None or d is None else o + d) for x, _, y, o, d in mine if x < b and max(y, x + 1) > a]
+        behind = [o for x, _, _, o, _ in mine if x >= b and o is not None]
+        want.add((deck, n, i, min((o for o, _ in over if o is not None), default=None), max((e for _, e in over if e is not None), default=None), *(behind[:1] or [None])))
+    met = align.met(s, m)
+    assert {tuple(x) for x in met.select("deck_id", "slide_num", "seg_idx", "raw_start", "raw_end", "next_ms").collect()} == want
+    for gap, steps in ((None, align.filled(met)), (150, align.clamp(align.filled(met)))):
+        got = align.timed(s, m, gap)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, steps.select(*got.columns).collect())) and got.count() == len(segs)
+
+
+def test_events_that_are_told_late(spark, sf, tmp_path):
+    """The same as by an event a row, with notes that are there twice, empty ones and characters of many bytes."""
+    from cueloom.queries import QUERIES
+    from cueloom.sources import bindings
+
+    notes = ["A b. Ça va? 字😀!\nx", "", " .,", None, "The quick brown fox jumps over the lazy dog, again and again and again, until it is dark. Then it rests."]
+    rows = [(deck, turn, "user", notes[(deck + turn) % 5]) for deck in range(12) for turn in range(4)] + [(3, 1, "user", "x yz. Again")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for d in (sf, str(tmp_path)):
+        places = spark.createDataFrame([(deck, n, i, 7 * i, 7 * i + 5) for deck in range(150) for n in range(1, 9) for i in range(15)], "deck_id long, slide_num int, seg_idx int, start int, end int")
+        late, rows = align.met(places, bindings.told(spark, d)), align.met(places, bindings.matched(spark, d))
+        assert sorted(map(repr, late.collect())) == sorted(map(repr, rows.collect())) and late.where("raw_start is not null").count() > 20
+    for name in ("predictive_captions", "aln7_clamp", "tl3_measured_captions"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(filter" not in plan and "explode(sequence" not in plan and plan.count("found(") == 1
