@@ -208,7 +208,7 @@ def aln6_interpolate(spark, d):
 
 @query
 def aln7_clamp(spark, d):
-    return align.clamp(align.filled(align.met(_spans(spark, d), b.matched(spark, d)))).select(*KEY, "seg_idx", "start_ms", "end_ms")
+    return align.timed(_spans(spark, d), b.told(spark, d), align.DEFAULT_GAP_MS).select(*KEY, "seg_idx", "start_ms", "end_ms")
 
 
 @query
