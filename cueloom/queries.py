@@ -299,7 +299,7 @@ def tl3c_scales(spark, d):
 
 @query
 def tl3_measured_captions(spark, d):
-    return captions.measured(b.slides(spark, d), b.matched(spark, d), _bounds(spark, d))[0]
+    return captions.measured(b.slides(spark, d), b.told(spark, d), _bounds(spark, d))[0]
 
 
 @query
@@ -310,7 +310,7 @@ def tl3_subtitles(spark, d):
 
 @query
 def tl3_warnings(spark, d):
-    return captions.measured(b.slides(spark, d), b.matched(spark, d), _bounds(spark, d))[1].select(*KEY, "code")
+    return captions.measured(b.slides(spark, d), b.told(spark, d), _bounds(spark, d))[1].select(*KEY, "code")
 
 
 def _vectors(spark, d):
