@@ -213,7 +213,7 @@ def aln7_clamp(spark, d):
 
 @query
 def aln8_captions(spark, d):
-    return captions.slide_captions(b.slides(spark, d), b.matched(spark, d)).select(*KEY, "seg_idx", "text", "start_ms", "end_ms", "interpolated")
+    return captions.slide_captions(b.slides(spark, d), b.told(spark, d)).select(*KEY, "seg_idx", "text", "start_ms", "end_ms", "interpolated")
 
 
 @query
