@@ -198,12 +198,12 @@ def aln4_match_events(spark, d):
 
 @query
 def aln5_overlaps(spark, d):
-    return align.overlaps(_segments(spark, d), b.matched(spark, d)).select(*KEY, "seg_idx", "raw_start", "raw_end")
+    return align.overlaps(_segments(spark, d), b.told(spark, d)).select(*KEY, "seg_idx", "raw_start", "raw_end")
 
 
 @query
 def aln6_interpolate(spark, d):
-    return align.filled(align.met(_spans(spark, d), b.matched(spark, d))).select(*KEY, "seg_idx", "start_ms", "end_ms", "interpolated")
+    return align.timed(_spans(spark, d), b.told(spark, d)).select(*KEY, "seg_idx", "start_ms", "end_ms", "interpolated")
 
 
 @query
@@ -218,7 +218,7 @@ def aln8_captions(spark, d):
 
 @query
 def aln8_balanced_captions(spark, d):
-    return captions.balanced_captions(b.slides(spark, d), b.matched(spark, d)).select(*KEY, "seg_idx", "text", "start_ms", "end_ms", "interpolated")
+    return captions.balanced_captions(b.slides(spark, d), b.told(spark, d)).select(*KEY, "seg_idx", "text", "start_ms", "end_ms", "interpolated")
 
 
 @query
@@ -419,7 +419,7 @@ def ivl4_cuts_after(spark, d):
 
 @query
 def ivl5_overlapping(spark, d):
-    raw = align.overlaps(_segments(spark, d), b.matched(spark, d)).where("raw_start is not null")
+    raw = align.overlaps(_segments(spark, d), b.told(spark, d)).where("raw_start is not null")
     late = F.col("raw_end") + F.when(F.col("seg_idx") % 3 == 0, 500).otherwise(0)
     return intervals.overlapping(raw.select(*KEY, F.col("seg_idx").alias("cue_idx"), F.col("raw_start").alias("start_ms"), late.alias("end_ms")), KEY)
 
