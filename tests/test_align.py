@@ -176,6 +176,14 @@ def test_srt(spark):
     assert srt.format_srt(cues, ["deck_id"], ["cue_idx"]).first().srt == "1\n100:40:39,999 --> 100:40:40,000\nx\n\n2\n00:00:00,000 --> 00:00:00,010\ny\n"
 
 
+def test_blocks_without_times_are_passed_over(spark):
+    """Also such as have lines enough; and times that a line break parts are none."""
+    text = "a note\nof two lines\n\n1\n00:00:01,000\n --> 00:00:02,500\n\n \n\t\n2\nat 00:00:01,000-->00:00:02.500 x\nfirst\n00:00:03,000 --> 00:00:04,000\n\n00:00:05,000 --> 00:00:06,000\n\n3\n00:00:07,000 \t --> 10:00:08,000\n \x0b"
+    files = spark.createDataFrame([(1, text), (2, "no\ntimes"), (3, None), (4, "5\n00:00:01,000 --> 00:00:02,500\n")], "deck_id long, srt string")
+    got = [tuple(r) for r in srt.parse_srt(files, ["deck_id"]).orderBy("deck_id", "cue_idx").collect()]
+    assert got == [(1, 0, 1000, 2500, "first\n00:00:03,000 --> 00:00:04,000"), (1, 1, 7000, 36_008_000, ""), (4, 0, 1000, 2500, "")]
+
+
 def test_lookups(spark):
     entries = spark.createDataFrame([(1, 1, 0, "a.mp3"), (1, 1, 1, "b.mp3"), (1, 2, 0, "")], "deck_id long, slide_num int, entry_idx int, audio_file string")
     assert merge.one_per_slide(entries, "entry_idx", last=False).where("slide_num = 1").first().audio_file == "a.mp3"
