@@ -18,8 +18,12 @@ def predicted_starts(slides: DataFrame, default_ms: int = DEFAULT_MS) -> DataFra
 
 def place(captions: DataFrame, starts: DataFrame) -> DataFrame:
     """Captions of slides moved to their slide's predicted start."""
-    moved = captions.join(starts.select(*KEY, "predicted_ms"), KEY)
-    return moved.withColumn("start_ms", F.col("start_ms") + F.col("predicted_ms")).withColumn("end_ms", F.col("end_ms") + F.col("predicted_ms")).drop("predicted_ms")
+    return moved(captions.join(starts.select(*KEY, "predicted_ms"), KEY))
+
+
+def moved(captions: DataFrame) -> DataFrame:
+    """Captions (with predicted_ms) moved to their slide's predicted start."""
+    return captions.withColumn("start_ms", F.col("start_ms") + F.col("predicted_ms")).withColumn("end_ms", F.col("end_ms") + F.col("predicted_ms")).drop("predicted_ms")
 
 
 def direct_scales(starts: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -13,14 +13,15 @@ KEY = ["deck_id", "slide_num"]
 Matched = DataFrame | align.Told
 
 
-def slide_captions(slides: DataFrame, matched: Matched) -> DataFrame:
-    """Captions within each slide, one for each sentence unit of its notes."""
-    return align.align(segment.sentence_segments(slides, KEY), matched)
+def slide_captions(slides: DataFrame, matched: Matched, beside: DataFrame | None = None) -> DataFrame:
+    """Captions within each slide, one for each sentence unit of its notes, with what beside has of their slides."""
+    return align.align(segment.sentence_segments(slides, KEY), matched, beside=beside)
 
 
 def predictive(slides: DataFrame, matched: Matched) -> DataFrame:
-    """Captions on the deck's predicted timeline."""
-    return timeline.place(slide_captions(slides, matched), timeline.predicted_starts(slides.select(*KEY, "audio_ms")))
+    """Captions on the deck's predicted timeline. Starts come to whole slides, so no caption is sent to them."""
+    starts = timeline.predicted_starts(slides.select(*KEY, "audio_ms")).select(*KEY, "predicted_ms")
+    return timeline.moved(slide_captions(slides, matched, starts))
 
 
 def measured(slides: DataFrame, matched: Matched, bounds: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -346,3 +346,25 @@ def test_events_that_are_told_late(spark, sf, tmp_path):
     for name in ("predictive_captions", "aln7_clamp", "tl3_measured_captions"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert "explode(filter" not in plan and "explode(sequence" not in plan and plan.count("found(") == 1
+
+
+def test_starts_come_to_whole_slides(spark):
+    """No caption is sent to its slide's start, and captions are those that are placed one by one, also of a slide that is there twice."""
+    from collections import Counter
+
+    from cueloom.operators import timeline
+    from cueloom.plans import captions
+
+    rows = [(deck, s, f"One of {deck}. Two, {s}!\nThree?", 3000 + s) for deck in range(6) for s in range(1, 5)] + [(1, 2, "Again. And again.", 9), (2, 9, None, None)]
+    slides = spark.createDataFrame(rows, "deck_id long, slide_num int, notes string, audio_ms long")
+    matched = slides.where("notes is not null").selectExpr("deck_id", "slide_num", "explode(sequence(0, 12, 3)) ev_idx").distinct().selectExpr("*", "ev_idx source_start_offset", "ev_idx + 1 source_end_offset", "ev_idx * 200L offset_ms", "160L duration_ms")
+    got = captions.predictive(slides, matched)
+    want = timeline.place(captions.slide_captions(slides, matched), timeline.predicted_starts(slides.select("deck_id", "slide_num", "audio_ms")))
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(map(tuple, want.collect()))
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(captions.predictive(slides, matched)) == exchanges(timeline.place(captions.slide_captions(slides, matched), timeline.predicted_starts(slides.select("deck_id", "slide_num", "audio_ms")))) - 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
